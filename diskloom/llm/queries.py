@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import formatting, leakage, survivor, tokens
+from . import abuse, formatting, leakage, survivor, tokens
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +34,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.cases(table(spark, folder, "documents"), table(spark, folder, "content_label"))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.source_rates(table(spark, folder, "documents"), table(spark, folder, "content_label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
@@ -41,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_records": p5_records,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 
 _FIELDS = ("title", "publisher", "version", "language", "qualifier", "disk_no", "disk_count")
