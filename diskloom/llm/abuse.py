@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from ..session import parallelism
 
 #: Labelled documents the model is fitted on; more are sampled down by hash of their key.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 #: Size of the hashed feature space (word parts in the first half, word pairs in the second).
 SPACE = 1 << 19
 HALF = SPACE // 2
+#: Documents and features handled at once while fitting (memory, not results).
+DOCS_AT_ONCE, FEATURES_AT_ONCE = 500, 1 << 20
 #: Features seen in fewer labelled documents than this are left out.
 LEAST_SEEN = 4
 STEPS, RATE, RIDGE = 200, 0.05, 3e-5
@@ -144,51 +146,63 @@ class Model:
 
 def fit(texts: list[str | None], labels: list[float]) -> Model:
     """Fit the sentence model to document labels in [0, 1] (several verdicts on one document are averaged)."""
-    words = Words()
-    number, sent, bag, n = [], [], [], 0
-    for b, text in enumerate(texts):
-        for _, s in sentences(text):
-            number += [words(w) for w in s]
-            sent += [n] * len(s)
-            bag.append(b)
-            n += 1
+    words, n = Words(), 0
+    features, owners, bags = [], [], []
+    seen = np.zeros(SPACE, np.int32)
+    for first in range(0, len(texts), DOCS_AT_ONCE):
+        number, sent, bag = [], [], []
+        for b, text in enumerate(texts[first:first + DOCS_AT_ONCE], first):
+            for _, s in sentences(text):
+                number += [words(w) for w in s]
+                sent += [n + len(bag)] * len(s)
+                bag.append(b)
+        if not bag:
+            continue
+        parts = [words.parts[k] for k in number]
+        feature, owner = [np.array([f for p in parts for f in p], np.int32)], [np.repeat(np.array(sent, np.int32), [len(p) for p in parts])]
+        h = np.array([words.hash[k] for k in number], np.int64)
+        for gap in GAPS:
+            f, s = pairs(h, np.array(sent, np.int32), gap)
+            feature.append(f.astype(np.int32))
+            owner.append(s)
+        feature, owner, bag = np.concatenate(feature), np.concatenate(owner), np.array(bag, np.int32)
+        seen += np.bincount(np.unique(feature.astype(np.int64) * DOCS_AT_ONCE + bag[owner - n] - first) // DOCS_AT_ONCE, minlength=SPACE).astype(np.int32)
+        features.append(feature)
+        owners.append(owner)
+        bags.append(bag)
+        n += len(bag)
     if not n:
         return Model(np.zeros(SPACE, np.float32), -5.0)
-    number, sent, bag = np.array(number, np.int32), np.array(sent, np.int32), np.array(bag, np.int64)
-    sizes = np.array([len(p) for p in words.parts], np.int32)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    flat = np.array([f for p in words.parts for f in p], np.int32)
-    each = sizes[number]
-    at = np.repeat(starts[number] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
-    feature, owner = [flat[at]], [np.repeat(sent, each)]
-    h = np.array(words.hash, np.int64)[number]
-    for gap in GAPS:
-        f, s = pairs(h, sent, gap)
-        feature.append(f.astype(np.int32))
-        owner.append(s.astype(np.int32))
-    feature, owner = np.concatenate(feature), np.concatenate(owner)
-    del at, number, h
+    bag = np.concatenate(bags)
     # Rare features say nothing; the rest are renumbered.
-    seen = np.bincount(np.unique(feature.astype(np.int64) * len(texts) + bag[owner]) // len(texts), minlength=SPACE)
     kept = np.flatnonzero(seen >= LEAST_SEEN)
     place = np.full(SPACE, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    feature = place[feature]
-    owner, feature = owner[feature >= 0], feature[feature >= 0]
+    for k, f in enumerate(features):
+        f = place[f]
+        features[k], owners[k] = f[f >= 0], owners[k][f >= 0]
+    feature, owner = np.concatenate(features), np.concatenate(owners)
+    del features, owners
+    cuts = [(k, k + FEATURES_AT_ONCE) for k in range(0, len(feature), FEATURES_AT_ONCE)]
     target = np.asarray(labels, float)
     rare = max(target.mean(), 1e-3)
     weight, bias = np.zeros(len(kept)), float(np.log(rare / (max(n / len(texts), 1) - rare + 1e-9)) if n > len(texts) else -1.0)
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     docs = len(texts)
     for step in range(1, STEPS + 1):
-        logit = np.clip(bias + np.bincount(owner, weight[feature], n), -30, 30)
+        logit = np.full(n, bias)
+        for i, j in cuts:
+            logit += np.bincount(owner[i:j], weight[feature[i:j]], n)
+        logit = np.clip(logit, -30, 30)
         p = 1 / (1 + np.exp(-logit))
         stay = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), docs)  # log of P(no sentence is abusive)
         none = np.exp(stay)
         case = np.maximum(1 - none, 1e-9)
         # d loss / d logit of a sentence: p for the clean share of the label, -p * none / case for the abusive share
         slope = p * ((1 - target) - target * none / case)[bag] / docs
-        grad = np.bincount(feature, slope[owner], len(kept)) + RIDGE * weight
+        grad = RIDGE * weight
+        for i, j in cuts:
+            grad += np.bincount(feature[i:j], slope[owner[i:j]], len(kept))
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb

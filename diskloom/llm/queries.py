@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, formatting, leakage, survivor, tokens
+from . import abuse, canonical, formatting, leakage, survivor, tokens, variants
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    typed = canonical.quarantined_names(table(spark, folder, "quarantine"), table(spark, folder, "artifact"))
+    return canonical.map_names(typed, table(spark, folder, "dat_entry"))
+
+
+def typed_names(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = variants.distinct_strings(table(spark, folder, "tosec_name"), {"publisher": "publisher", "title": "title"})
+    return parsed.unionByName(variants.distinct_strings(table(spark, folder, "artifact"), {"crack_group": "crack_group"}))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variant_pairs(typed_names(spark, folder), frozenset(("title",)))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,6 +57,8 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p5_found": p5_found,
