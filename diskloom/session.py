@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so clusters need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_diskloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="diskloom-")) / "diskloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._diskloom_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a snapshot folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
