@@ -94,7 +94,7 @@ def _number(word: str, after: str, first: bool) -> int | None:
         return ROMAN[r]
     n = NUMBER_WORDS.get(w)
     if n is None and not first:  # mistyped
-        n = 2 if sorted(w) == ["o", "t", "w"] else next((k for x, k in NUMBER_WORDS.items() if len(x) > 4 and len(w) >= 4 and 2 * lcs(w, x) >= 0.8 * (len(w) + len(x))), None)
+        n = 2 if sorted(w) == ["o", "t", "w"] else next((k for x, k in NUMBER_WORDS.items() if min(len(x), len(w)) >= 4 and ratio(w, x) >= (0.8 if len(x) > 4 else 0.75)), None)
     if n == 7 and ratio(fold(after), "keis") >= 0.6:  # the words "seven keys" of a subtitle
         return None
     return n

@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import abuse, canonical, formatting, leakage, survivor, tokens, variants
+from . import abuse, canonical, formatting, leakage, linkage, survivor, tokens, variants
+
+
+def p1_ties(spark: SparkSession, folder: str) -> DataFrame:
+    found = linkage.ties(linkage.work_rows(table(spark, folder, "title_query")), linkage.page_rows(table(spark, folder, "provider_results")))
+    return found.select(found["work"].alias("title_id"), found["page"].alias("result_id"), "confidence")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_ties(spark, folder).select("title_id", "result_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +66,8 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_ties": p1_ties,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
