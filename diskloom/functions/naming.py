@@ -20,6 +20,11 @@ UID_LENGTH = 10
 VERSION_WIDTH = 6
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trimmed(x: Column) -> Column:
     """Without white space of any script at the ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -66,16 +71,16 @@ def bracket_groups(x: Column) -> Column:
 
 def _u32(text: Column) -> Column:
     """A number up to 2**32 - 1 as its digits say, null if it isn't one."""
-    n = F.when(text.rlike(r"^\+?[0-9]{1,40}$"), text.try_cast("decimal(38,0)"))
-    return F.when(n <= U32, n.cast("long"))
+    return let(F.when(text.rlike(r"^\+?[0-9]{1,40}$"), text.try_cast("decimal(38,0)")), lambda n: F.when(n <= U32, n.cast("long")))
 
 
 def disk_numbers(content: Column) -> Column:
     """``no``, ``count`` of ``Disk N of M``; null if it isn't one."""
-    low = ascii_lower(content)
-    part = lambda n: _u32(trimmed(F.regexp_extract(low, r"(?s)^disk (.*?) of (.*)\z", n)))
-    no, count = part(1), part(2)
-    return F.when(no.isNotNull() & count.isNotNull(), F.struct(no.alias("no"), count.alias("count")))
+    def numbers(low: Column) -> Column:
+        part = lambda n: _u32(trimmed(F.regexp_extract(low, r"(?s)^disk (.*?) of (.*)\z", n)))
+        return let(F.struct(part(1).alias("no"), part(2).alias("count")), lambda d: F.when(d["no"].isNotNull() & d["count"].isNotNull(), d))
+
+    return F.when(ascii_lower(F.substring(content, 1, 5)) == "disk ", numbers(ascii_lower(content)))
 
 
 def year_of(content: Column) -> Column:
@@ -87,16 +92,11 @@ def is_version(token: Column) -> Column:
     return token.rlike(r"^[vV][0-9]")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _classified(group: Column) -> Column:
     """A group with its kind: flag, disk, year, language, qualifier or publisher."""
     def sort(c: Column, flag: Column) -> Column:
         return let(
-            F.struct(disk_numbers(c).alias("disk"), year_of(c).alias("year"), ascii_lower(c).alias("low")),
+            F.struct(F.when(~flag, disk_numbers(c)).alias("disk"), F.when(~flag, year_of(c)).alias("year"), ascii_lower(c).alias("low")),
             lambda x: F.struct(
                 F.when(flag, "flag").when(x["disk"].isNotNull(), "disk").when(x["year"].isNotNull(), "year").when(x["low"].isin(*LANGUAGES), "language").when(x["low"].isin(*QUALIFIERS), "qualifier").otherwise("publisher").alias("kind"),
                 c.alias("text"), x["low"].alias("low"), x["disk"].alias("disk"), x["year"].alias("year"),

@@ -72,9 +72,9 @@ SIMILAR = """CASE WHEN ja = '' OR jb = '' THEN 0.0 WHEN ja = jb THEN 1.0 ELSE 0.
  + 0.5 * greatest(1 - levenshtein(ja, jb) / greatest(length(ja), length(jb)), 0) END"""
 RESULTS = f"""t AS (SELECT title_id, name, lower({_kebab("name")}) AS slug FROM title_query), p AS (SELECT DISTINCT * FROM provider_results),
 r AS (SELECT t.title_id, t.name, p.* FROM t JOIN p ON t.slug = lower({_kebab("p.page_title")})), k AS (SELECT * FROM r WHERE score >= CAST(0.55 AS FLOAT))"""
-MERGED = f"""{RESULTS}, src AS (SELECT title_id, string_agg(source, ',' ORDER BY a, b) AS sources FROM (SELECT title_id, source, min(priority) AS a, arg_min(result_id, priority * 1000000000 + result_id) AS b FROM k GROUP BY title_id, source) GROUP BY title_id),
+MERGED = f"""{RESULTS}, src AS (SELECT title_id, string_agg(source, ',' ORDER BY a, b) AS sources FROM (SELECT title_id, source, min(priority) AS a, arg_min(result_id, CAST(priority AS BIGINT) * 1000000000 + result_id) AS b FROM k GROUP BY title_id, source) GROUP BY title_id),
 sh0 AS (SELECT title_id, priority, result_id, unnest(shots) AS s, generate_subscripts(shots, 1) AS pos FROM k),
-sh AS (SELECT title_id, s.url AS url, min(priority * 1000000000000 + result_id * 1000 + pos) AS o FROM sh0 GROUP BY title_id, s.url),
+sh AS (SELECT title_id, s.url AS url, min(CAST(priority AS BIGINT) * 1000000000000 + result_id * 1000 + pos) AS o FROM sh0 GROUP BY title_id, s.url),
 sho AS (SELECT title_id, string_agg(url, ' ' ORDER BY o) AS shots FROM sh GROUP BY title_id),
 mg AS (SELECT k.title_id, {", ".join(f"first({c} ORDER BY priority, result_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("genre", "description", "year", "external_url", "cover"))}, max(score) AS score FROM k GROUP BY k.title_id)"""
 
