@@ -225,11 +225,11 @@ class ReferenceList:
             return []
         return sorted(((self.score(p, self.titles[k]), -k, p) for k, _ in self.retrieve(p.joined)), key=lambda x: x[:2], reverse=True)
 
-    def entry(self, core: tuple[str, ...], number: int, typed: Typed) -> int:
-        """The entry of a series and number that fits a typed name best; 0 if the list lacks the number."""
+    def entry(self, core: tuple[str, ...], number: int, typed: Typed) -> tuple[tuple, int] | None:
+        """(fit, id) of the entry of a series and number that fits a typed name best; None if the list lacks the number."""
         found = [e for k in self.series.get(core, ()) for e in self.titles[k].entries.get(number, ())]
         if not found:
-            return 0
+            return None
 
         def fit(e: Entry) -> tuple:
             crack = names.ratio(names.parse(typed.crack, False).joined, names.parse(e.crack, False).joined) if typed.crack and e.crack else 0.5 if typed.crack is not None and e.crack is not None else 0.0
@@ -240,11 +240,11 @@ class ReferenceList:
                 -(e.disk or 0), e.version is None, e.language in (None, "en"), -e.dat_id,
             )
 
-        return max(found, key=fit).dat_id
+        return max((fit(e), e.dat_id) for e in found)
 
 
 def parts(entries: DataFrame, key: str, name: str) -> Iterator[list[tuple[int, str]]]:
-    """The list in parts of bounded size, whole titles together."""
+    """The list in parts of bounded size."""
     block: list[tuple[int, str]] = []
     for k, s in entries.select(key, name).where(F.col(key).isNotNull() & F.col(name).isNotNull()).distinct().orderBy(name, key).toLocalIterator():
         block.append((k, s))
@@ -255,7 +255,7 @@ def parts(entries: DataFrame, key: str, name: str) -> Iterator[list[tuple[int, s
         yield block
 
 
-_FOUND = "name string, part int, score double, core string, number int, version string, disk int, language string, crack string, demo boolean"
+_FOUND = "name string, score double, core string, number int, version string, disk int, language string, crack string, demo boolean"
 
 
 def map_names(typed: DataFrame, entries: DataFrame, uid: str = "uid", name: str = "name", entry_key: str = "dat_id", entry_name: str = "name", accept: float = ACCEPT, margin: float = MARGIN) -> DataFrame:
@@ -275,9 +275,9 @@ def map_names(typed: DataFrame, entries: DataFrame, uid: str = "uid", name: str
     shared = [spark.sparkContext.broadcast(x) for x in lists]
     distinct = pairs.where(F.col("name").isNotNull()).select("name").distinct().repartition(parallelism(spark))
     found = None
-    for n, held in enumerate(shared):
+    for held in shared:
 
-        def run(frames: Iterator[pd.DataFrame], held=held, n=n) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             reference = held.value
             columns = [c.split()[0] for c in _FOUND.split(", ")]
             for frame in frames:
@@ -288,30 +288,33 @@ def map_names(typed: DataFrame, entries: DataFrame, uid: str = "uid", name: str
                     for rank, (score, k, p) in enumerate(best[:2]):
                         core = reference.titles[-k].core
                         if score >= accept - margin and (rank == 0 or core != reference.titles[-best[0][1]].core):
-                            out.append((s, n, score, "\u0001".join(core), p.number, t.version, t.disk, t.language, t.crack, t.demo))
+                            out.append((s, score, "\u0001".join(core), p.number, t.version, t.disk, t.language, t.crack, t.demo))
                 yield pd.DataFrame(out, columns=columns)
 
         part = distinct.mapInPandas(run, _FOUND)
         found = part if found is None else found.unionByName(part)
-    # Of each name: the best title, and how far the next one is behind.
-    ranked = found.groupBy("name").agg(F.max_by(F.struct("part", "core", "number", "version", "disk", "language", "crack", "demo"), "score").alias("best"), F.max("score").alias("score"), F.sort_array(F.collect_list("score"), False).alias("scores"))
+    # Of each name: the best title, and how far the next one is behind. A title in several parts of the list is one.
+    best = F.struct("core", "number", "version", "disk", "language", "crack", "demo")
+    titles = found.groupBy("name", "core").agg(F.max_by(best, "score").alias("best"), F.max("score").alias("score"))
+    ranked = titles.groupBy("name").agg(F.max_by("best", F.struct("score", "core")).alias("best"), F.max("score").alias("score"), F.sort_array(F.collect_list("score"), False).alias("scores"))
     sure = ranked.where((F.col("score") >= accept) & ((F.size("scores") < 2) | (F.col("score") - F.element_at("scores", F.when(F.size("scores") < 2, 1).otherwise(2)) >= margin))).select("name", "score", "best.*")
     meant = pairs.join(sure, "name")
-    title = meant.groupBy("uid").agg(F.max_by(F.struct("part", "core"), F.struct("score", "core")).alias("title"))
+    title = meant.groupBy("uid").agg(F.max_by("core", F.struct("score", "core")).alias("title"))
     details = (
         meant.join(title, "uid")
-        .where((F.col("part") == F.col("title.part")) & (F.col("core") == F.col("title.core")))
-        .groupBy("uid", "part", "core")
+        .where(F.col("core") == F.col("title"))
+        .groupBy("uid", "core")
         .agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("score", "name"))).alias(c) for c in ("version", "disk", "language", "crack")), F.max("number").alias("number"), F.max("demo").alias("demo"))
     )
 
     def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clean = lambda x: None if x is None or x != x else x
         for frame in frames:
-            ids = [
-                shared[r.part].value.entry(tuple(r.core.split("\u0001")), int(r.number), Typed("", clean(r.version), None if clean(r.disk) is None else int(r.disk), clean(r.language), clean(r.crack), bool(r.demo)))
-                for r in frame.itertuples(index=False)
-            ]
+            ids = []
+            for r in frame.itertuples(index=False):
+                t = Typed("", clean(r.version), None if clean(r.disk) is None else int(r.disk), clean(r.language), clean(r.crack), bool(r.demo))
+                fits = [f for held in shared if (f := held.value.entry(tuple(r.core.split("\u0001")), int(r.number), t))]
+                ids.append(max(fits)[1] if fits else 0)
             yield pd.DataFrame({uid: frame["uid"], entry_key: ids})
 
     entry = details.mapInPandas(resolve, kinds)
