@@ -119,9 +119,9 @@ def test_changes(spark):
 def test_merge_and_images(spark):
     schema = "title_id long, result_id long, priority int, source string, external_url string, description string, genre string, year int, cover struct<url:string,caption:string,source:string>, shots array<struct<url:string,caption:string,source:string>>, score float"
     one, two = ("u1", None, "s"), ("u2", None, "s")
-    rows = [(1, 1, 1, "openretro", "e1", "d", None, 1990, ("c1", None, "s"), [one], 0.9), (1, 2, 2, "hol", "e2", "x", "g", 1991, None, [one, two], 0.8), (2, 3, 1, "hol", None, None, None, None, None, None, 0.2), (3, 4, 1, "hol", None, None, None, None, None, None, None)]
+    rows = [(1, 1, 1, "alpha", "e1", "d", None, 1990, ("c1", None, "s"), [one], 0.9), (1, 2, 2, "beta", "e2", "x", "g", 1991, None, [one, two], 0.8), (2, 3, 1, "beta", None, None, None, None, None, None, 0.2), (3, 4, 1, "beta", None, None, None, None, None, None, None)]
     m = enrich.merge(spark.createDataFrame(rows, schema)).collect()
-    assert len(m) == 1 and (m[0].genre, m[0].description, m[0].year, m[0].sources, [s.url for s in m[0].shots]) == ("g", "d", 1990, "openretro,hol", ["u1", "u2"])
+    assert len(m) == 1 and (m[0].genre, m[0].description, m[0].year, m[0].sources, [s.url for s in m[0].shots]) == ("g", "d", 1990, "alpha,beta", ["u1", "u2"])
     kinds = "title_id long, kind string, url string"
     kept = enrich.replace_images(
         spark.createDataFrame([(1, "cover", "old"), (1, "screenshot", "old"), (2, "cover", "old"), (3, "odd", "old")], kinds), spark.createDataFrame([(1, "screenshot", "new")], kinds),
