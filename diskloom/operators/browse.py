@@ -90,6 +90,15 @@ def upload_tally(uploads: DataFrame, quarantine: DataFrame) -> DataFrame:
     return pick(stored, "stored", "duplicate", "quarantined").unionByName(pick(rejected, "rejected")).where("uploads > 0")
 
 
+def title_meta(meta: DataFrame, screenshots: DataFrame) -> DataFrame:
+    """Metadata of titles with their images nested: the last cover by (ord, content) and all others in that order."""
+    order = F.struct("ord", "blob_sha1")
+    images = screenshots.groupBy("title_id").agg(
+        F.max_by("blob_sha1", F.when(F.col("kind") == "cover", order)).alias("cover_sha1"), F.array_sort(F.collect_list(F.when(F.col("kind") != "cover", order))).alias("_s"),
+    )
+    return meta.join(images, "title_id", "left").withColumn("screenshots", F.coalesce(F.transform("_s", lambda s: s["blob_sha1"]), F.array().cast("array<string>"))).drop("_s")
+
+
 def media(screenshots: DataFrame, blobs: DataFrame) -> DataFrame:
     """``sha1``, ``mime``, ``content`` of every stored image once."""
     one = screenshots.groupBy(F.col("blob_sha1").alias("sha1")).agg(F.min_by("mime", F.struct("title_id", "ord")).alias("mime"))

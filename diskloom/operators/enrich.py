@@ -52,6 +52,13 @@ def fuzzy_matches(titles: DataFrame, links: DataFrame) -> DataFrame:
     return scored.groupBy("title_id").agg(F.min_by(F.struct("slug", "label", "score"), F.struct(-F.col("score"), F.col("slug"))).alias("_b")).select("title_id", "_b.*")
 
 
+def pages_for(titles: DataFrame, links: DataFrame) -> DataFrame:
+    """``title_id``, ``slug``, ``exact`` of the page each title leads to: the page of its own slug, else the best fuzzy match; titles without either are left out."""
+    exact = by_slug(titles.select("title_id", "name"), links.select("slug").distinct()).select("title_id", "slug").withColumn("exact", F.lit(True))
+    rest = titles.join(exact.select("title_id"), "title_id", "left_anti")
+    return exact.unionByName(fuzzy_matches(rest, links).select("title_id", "slug").withColumn("exact", F.lit(False)))
+
+
 def merge(results: DataFrame) -> DataFrame:
     """One record per title from provider results (``title_id``, ``priority``, ``result_id``, ...): first known value per attribute in priority order.
 

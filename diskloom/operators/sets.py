@@ -172,6 +172,13 @@ def list_works(sets: DataFrame) -> DataFrame:
     )
 
 
+def works_nested(sets: DataFrame) -> DataFrame:
+    """Works with their releases nested in release order (nulls first), as the catalog's views are served."""
+    fields = [c for c in sets.columns if c not in RELEASES]
+    release = F.struct(*RELEASES, *fields)
+    return sets.groupBy(naming.trimmed(F.col("title")).alias("name")).agg(F.array_sort(F.collect_list(release)).alias("releases"))
+
+
 def work_facets(sets: DataFrame) -> DataFrame:
     """Facets of each work: earliest year, representative's publisher and genre, completeness, category.
 

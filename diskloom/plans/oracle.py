@@ -148,6 +148,8 @@ ORACLE: dict[str, str] = {
     "list_sets": f"WITH {M}, {SETS} SELECT * FROM sets",
     "sets_incomplete": f"WITH {M}, {SETS} SELECT {SET}, disks_present, variant_count FROM sets WHERE complete_lineages = 0",
     "list_works": f"WITH {M}, {SETS}, {WORKS} SELECT * FROM works",
+    "works_nested": f"""WITH {M}, {SETS} SELECT title AS name, string_agg(category || ':' || coalesce(version, '-') || ':' || coalesce(language, '-') || ':' || publisher || ':' || complete_lineages, ' '
+        ORDER BY category NULLS FIRST, qualifier NULLS FIRST, disk_count NULLS FIRST, version NULLS FIRST, language NULLS FIRST, publisher NULLS FIRST) AS releases FROM sets GROUP BY title""",
     "work_type_filter": f"WITH {M}, {SETS}, {WORKS} SELECT name, cracked_count FROM works WHERE cracked_count > 0",
     "works_by_decade": f"WITH {M}, {SETS}, {FACETS} SELECT CAST(year // 10 * 10 AS VARCHAR) || 's' AS group_name, count(*) AS works FROM facets GROUP BY 1",
     "works_by_publisher": f"WITH {M}, {SETS}, {FACETS} SELECT coalesce(nullif(publisher, ''), 'Unknown') AS group_name, count(*) AS works FROM facets GROUP BY 1",
@@ -183,6 +185,12 @@ ORACLE: dict[str, str] = {
         s AS (SELECT title_id, CAST({SIMILAR} AS FLOAT) AS score FROM al JOIN bl ON la = lb) SELECT title_id, round(CAST(max(score) AS DOUBLE), 4) AS score FROM s WHERE score >= CAST(0.55 AS FLOAT) GROUP BY title_id""",
     "provider_merge": f"WITH {MERGED} SELECT mg.title_id, genre, description, year, external_url, cover.url AS cover, round(CAST(score AS DOUBLE), 4) AS score, sources, coalesce(shots, '') AS shots FROM mg JOIN src USING (title_id) LEFT JOIN sho USING (title_id)",
     "wanted_images": f"""WITH {MERGED} SELECT title_id, 'cover' AS kind, 0 AS ord, cover.url AS url FROM mg WHERE cover IS NOT NULL UNION ALL SELECT title_id, 'screenshot', CAST(n - 1 AS INTEGER), url FROM (SELECT title_id, url, row_number() OVER (PARTITION BY title_id ORDER BY o) AS n FROM sh) WHERE n <= 6""",
+    "title_pages": f"""WITH t AS (SELECT title_id, lower({_kebab("name")}) AS own, {_words("name")} AS wa FROM title_query), l AS (SELECT DISTINCT page_title, lower({_kebab("page_title")}) AS slug, {_words("page_title")} AS wb FROM provider_results WHERE page_title IS NOT NULL),
+        x AS (SELECT DISTINCT title_id, slug FROM t JOIN l ON own = slug), al AS (SELECT *, array_to_string(wa, '') AS ja, coalesce(nullif(regexp_extract(array_to_string(wa, ' '), '[a-z]'), ''), '0') AS la FROM t WHERE title_id NOT IN (SELECT title_id FROM x)),
+        bl AS (SELECT *, array_to_string(wb, '') AS jb, coalesce(nullif(regexp_extract(array_to_string(wb, ' '), '[a-z]'), ''), '0') AS lb FROM l), s AS (SELECT title_id, slug, CAST({SIMILAR} AS FLOAT) AS score FROM al JOIN bl ON la = lb),
+        r AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY score DESC, slug) AS n FROM s WHERE score >= CAST(0.55 AS FLOAT)) SELECT title_id, slug, TRUE AS exact FROM x UNION ALL SELECT title_id, slug, FALSE FROM r WHERE n = 1""",
+    "title_meta": f"""WITH {MERGED}, six AS (SELECT title_id, url, n FROM (SELECT title_id, url, row_number() OVER (PARTITION BY title_id ORDER BY o) AS n FROM sh) WHERE n <= 6)
+        SELECT title_id, genre, sources, CASE WHEN cover IS NOT NULL THEN sha1(cover.url) END AS cover_sha1, coalesce((SELECT string_agg(sha1(url), ' ' ORDER BY n) FROM six WHERE six.title_id = mg.title_id), '') AS screenshots FROM mg JOIN src USING (title_id)""",
     "enrich_targets": f"""WITH {MERGED} SELECT title_id, name, category, (SELECT min(a.year) FROM artifact a JOIN edition e ON a.edition_id = e.id WHERE e.title_id = q.title_id) AS year FROM title_query q WHERE title_id NOT IN (SELECT title_id FROM mg)""",
     "meta_no_wipe": f"""WITH {RESULTS}, im AS (SELECT DISTINCT title_id, priority > 2 AS late, kind, url FROM (SELECT title_id, priority, 'cover' AS kind, cover.url AS url FROM r WHERE cover IS NOT NULL UNION ALL SELECT title_id, priority, 'screenshot', unnest(list_transform(shots, lambda s: s.url)) FROM r)),
         asked AS (SELECT title_id, bool_or(cover IS NOT NULL) AS c, bool_or(coalesce(len(shots), 0) > 0) AS s FROM r WHERE priority > 2 GROUP BY title_id)

@@ -318,6 +318,13 @@ def list_works(spark: SparkSession, folder: str) -> DataFrame:
     return sets.list_works(sets.list_sets(artifacts(spark, folder, keep=True))).orderBy("name")
 
 
+@query
+def works_nested(spark: SparkSession, folder: str) -> DataFrame:
+    works = sets.works_nested(sets.list_sets(artifacts(spark, folder, keep=True)))
+    line = lambda r: F.concat_ws(":", r["category"], F.coalesce(r["version"], F.lit("-")), F.coalesce(r["language"], F.lit("-")), r["publisher"], r["complete_lineages"].cast("string"))
+    return works.select("name", F.array_join(F.transform("releases", line), " ").alias("releases"))
+
+
 @query
 def work_type_filter(spark: SparkSession, folder: str) -> DataFrame:
     works = sets.list_works(sets.list_sets(artifacts(spark, folder, keep=True)))
@@ -492,6 +499,19 @@ def wanted_images(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.wanted_images(enrich.merge(results_by_title(spark, folder)))
 
 
+@query
+def title_pages(spark: SparkSession, folder: str) -> DataFrame:
+    links = table(spark, folder, "provider_results").where(F.col("page_title").isNotNull()).select(F.col("page_title").alias("label"), similarity.slug(F.col("page_title")).alias("slug")).distinct()
+    return enrich.pages_for(table(spark, folder, "title_query").select("title_id", "name"), links)
+
+
+@query
+def title_meta(spark: SparkSession, folder: str) -> DataFrame:
+    merged = enrich.merge(results_by_title(spark, folder))
+    images = enrich.wanted_images(merged).withColumn("blob_sha1", F.sha1(F.col("url").cast("binary")))
+    return browse.title_meta(merged.select("title_id", "genre", "sources"), images).withColumn("screenshots", F.array_join("screenshots", " "))
+
+
 @query
 def enrich_targets(spark: SparkSession, folder: str) -> DataFrame:
     fetched = enrich.merge(results_by_title(spark, folder)).select("title_id")
