@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parallelism
-
 #: Labelled documents the model is fitted on; more are sampled down by hash of their key.
 MAX_LABELLED = 12_000
 #: Size of the hashed feature space (word parts in the first half, word pairs in the second).
@@ -261,7 +259,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 s, worst = judge(known, part["t"].tolist(), words)
                 yield pd.DataFrame({"k": part["k"], "score": s, "worst_sentence": worst})
 
-    once = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartition(parallelism(spark), "k").dropDuplicates(["k"])
+    once = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
     return once.mapInPandas(run, f"k {kind}, score double, worst_sentence string").withColumnRenamed("k", key)
 
 

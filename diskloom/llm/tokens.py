@@ -17,8 +17,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parallelism
-
 #: Distinct splits a worker remembers; beyond it the memory starts afresh (speed only).
 REMEMBERED = 300_000
 #: Splits longer than this many bytes aren't remembered.
@@ -180,13 +178,14 @@ def encode_texts(rows: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     Texts are encoded as stored. Null and empty texts give an empty list, a
     null key counts as one key. Rows that repeat a key are encoded once (any one
-    of them, if they differ). The shuffle that finds repeats also spreads the
-    texts evenly over the workers. Other columns are ignored.
+    of them, if they differ); they are dropped before the shuffle, so a key that
+    holds much of the table stays in no task as a whole. The shuffle also spreads
+    the texts evenly over the workers. Other columns are ignored.
     """
     import pyarrow as pa
 
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    once = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).repartition(parallelism(rows.sparkSession), "k").dropDuplicates(["k"])
+    once = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe(path, pattern)
