@@ -127,6 +127,19 @@ def parse(text: str, series: bool) -> Name:
 _NICK = {(fold(a), fold(b)) for a, b in NICKNAMES.items()}
 
 
+_FULL_NAMES: dict[str, list[str]] = {}
+for _short, _full in _NICK:
+    _FULL_NAMES.setdefault(_short, []).append(_full)
+
+
+def _letters(word: str) -> int:
+    """The letters of a word as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 @lru_cache(maxsize=1 << 16)
 def likeness(a: str, b: str, short_a: bool = False, short_b: bool = False) -> float:
     """How well two tokens match: equal, abbreviated, without vowels, or by common subsequence."""
@@ -156,6 +169,8 @@ class Vocabulary:
         for w in self.common:
             self.by_first.setdefault(w[:1], []).append(w)
         self.long = sorted((w for w in self.common if len(w) >= 5), key=len, reverse=True)
+        self.letters = {w: _letters(w) for w in self.common}
+        self.by_consonants = {consonants(w): w for w in self.common if len(consonants(w)) >= 2}
         self.known: dict[tuple[str, bool], str | None] = {}
 
     def word(self, token: str, short: bool) -> str | None:
@@ -164,18 +179,29 @@ class Vocabulary:
         if key not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            best, most = None, 0.0
-            if token in self.by_first.get(token[:1], ()):
-                best = token
-            elif len(token) > 1:
-                for w in self.by_first.get(token[:1], []) if short else self.common:
-                    if abs(len(w) - len(token)) <= 2 or w[0] == token[0]:
-                        s = likeness(token, w, short or 3 <= len(token) <= 4)
-                        if s >= COMMON_LIKE and s > most and (len(w) > 3 or token[0] == w[0]):
-                            best, most = w, s
-            self.known[key] = best
+            self.known[key] = self._word(token, short)
         return self.known[key]
 
+    def _word(self, token: str, short: bool) -> str | None:
+        if token in self.letters:
+            return token
+        if len(token) < 2:
+            return None
+        alike = self.by_consonants.get(token) or next((w for w in _FULL_NAMES.get(token, ()) if w in self.letters), None)
+        if alike is None and (short or len(token) <= 4 and len(token) >= 3):
+            alike = next((w for w in self.by_first.get(token[0], ()) if w.startswith(token)), None)
+        if alike:
+            return alike
+        best, most, own, size = None, COMMON_LIKE, _letters(token), len(token)
+        for w, theirs in self.letters.items():
+            # A letter that only one of them has is lost to the common subsequence.
+            if 2 * min(size - (own & ~theirs).bit_count(), len(w) - (theirs & ~own).bit_count()) < most * (size + len(w)) or len(w) <= 3 and token[0] != w[0]:
+                continue
+            s = ratio(token, w)
+            if s > most or best is None and s == most:
+                best, most = w, s
+        return best
+
     def pieces(self, token: str) -> list[str]:
         """A token that runs words together, cut where a common word or filler starts or ends it."""
         if len(token) >= 8 and token not in self.by_first.get(token[:1], ()):
