@@ -25,6 +25,12 @@ def test_p1_ties(spark):
     assert not {202, 203, 204} & set(found) and all(0.5 <= c <= 1 for _, c in found.values())
 
 
+def test_p1_one_shared_sequence_is_enough(spark):
+    works = spark.createDataFrame([(287, "Dadduztidzop III", 1988, "game"), (288, "Dekwebpukrat II", 1988, "game"), (289, "Zopvernpish", 1988, "game")], WORKS)
+    pages = spark.createDataFrame([(476, "Daddutzidzop 3", 1988, None, None, 0.81), (477, "Dekwevpujrat Two", 1988, None, None, 0.81)], PAGES)
+    assert {tuple(r) for r in linkage.candidates(works, pages).collect()} == {(287, 476), (288, 477)}
+
+
 def test_p1_empty_tables(spark):
     none, one = spark.createDataFrame([], WORKS), spark.createDataFrame([(1, "A Name", None, None, None, None)], PAGES)
     assert linkage.ties(none, one).isEmpty() and linkage.ties(spark.createDataFrame([(1, "A Name", 1990, "game")], WORKS), spark.createDataFrame([], PAGES)).isEmpty()
