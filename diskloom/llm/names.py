@@ -259,9 +259,11 @@ def core_ratio(a: list[str], b: list[str]) -> float:
     return best
 
 
-def similarity(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]]) -> float:
-    """Similarity in [0, 1] of two split names: cores by common subsequence, common words by overlap of the shorter list."""
+def similarity(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]], least: float = 0.0) -> float:
+    """Similarity in [0, 1] of two split names: cores by common subsequence, common words by overlap of the shorter list; 0 if it can't reach ``least``."""
     core = core_ratio(a[0], b[0])
+    if CORE * core + (1 - CORE) < least - 1e-9:
+        return 0.0
     few, many = sorted((a[1], b[1]), key=len)
     shared = sum(any(t == u or likeness(t, u) >= COMMON_LIKE or t.startswith(u) or u.startswith(t) for u in many) for t in few) / len(few) if few else 1.0
     return CORE * core + (1 - CORE) * shared

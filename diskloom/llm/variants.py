@@ -1,9 +1,8 @@
 """Variant spellings: suffix blocking, comparison by longest common subsequence, linked classes.
 
 Every distinct string is indexed by its tokens' suffixes (and, read backwards,
-prefixes) above a minimum length. Of a token's nested suffixes the shortest
-that isn't overly common is used; tokens that are common as a whole are refined
-with the other tokens of the name instead of being dropped.
+prefixes) of a minimum length. All strings that share one are compared, however
+common it is.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from ..operators.components import connected_classes
 from ..session import durable, parallelism
 from . import names
 
-#: Shortest suffix in the index, largest block of a suffix that is used as it is.
-MIN_SUFFIX, BLOCK = 5, 60
+#: Length of the suffixes in the index.
+MIN_SUFFIX = 5
 #: A word is common if it occurs in this share of a field's distinct strings (and at least in LEAST of them), beside as many other words.
 COMMON_SHARE, COMMON_LEAST = 0.01, 8
 #: Least share of three-letter groups in common for a pair to be compared in full (names without vowels always are).
@@ -61,46 +60,31 @@ def vocabularies(strings: DataFrame, series: frozenset[str]) -> dict[str, names.
     return {f: names.Vocabulary(r["token"] for r in common if r["field"] == f) for f in fields}
 
 
-def suffix_keys(parsed: names.Name) -> list[tuple[int, int, str]]:
-    """(token and direction, length, key) of every suffix and prefix of a name's tokens, and its consonants as one key."""
-    out = []
-    tokens = dict.fromkeys([*parsed.tokens, parsed.joined])
-    for k, t in enumerate(tokens):
-        for side, s in enumerate((t, t[::-1])):
-            for n in range(MIN_SUFFIX, len(s) + 1):
-                out.append((2 * k + side, n, f"{'><'[side]}{s[-n:]}"))
-            if len(s) < MIN_SUFFIX and side == 0 and len(s) > 1:
-                out.append((2 * k, len(s), f"={s}"))
-    c = names.consonants(parsed.joined)
-    if len(c) >= 4:
-        out.append((-1, len(c), f"~{c}"))
+def suffix_keys(parsed: names.Name) -> set[str]:
+    """The shortest suffix and prefix in the index of each of a name's tokens, short tokens whole, and the name's consonants."""
+    out = set()
+    for t in {*parsed.tokens, parsed.joined}:
+        if len(t) >= MIN_SUFFIX:
+            out |= {f">{t[-MIN_SUFFIX:]}", f"<{t[::-1][-MIN_SUFFIX:]}"}
+        elif len(t) > 1:
+            out.add(f"={t}")
+    if len(c := names.consonants(parsed.joined)) >= 4:
+        out.add(f"~{c}")
     return out
 
 
 def blocks(strings: DataFrame, series: frozenset[str]) -> DataFrame:
-    """``field``, ``name``, ``key`` of the blocks to compare within."""
+    """``field``, ``name``, ``key`` of the blocks to compare within: longer suffixes in common imply the shortest, so every pair that shares one meets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for f, s in zip(frame["field"], frame["name"], strict=True):
                 p = names.parse(s, f in series)
-                out += [(f, s, p.number, at, n, key) for at, n, key in suffix_keys(p)]
-            yield pd.DataFrame(out, columns=["field", "name", "number", "at", "len", "key"])
-
-    keys = durable(strings.select("field", "name").repartition(parallelism(strings.sparkSession), "name").mapInPandas(run, "field string, name string, number int, at int, len int, key string"))
-    counts = keys.groupBy("field", "number", "key").agg(F.count_distinct("name").alias("size"))
-    sized = keys.join(counts, ["field", "number", "key"]).where(F.col("size") > 1)
-    # The shortest suffix of each token that isn't overly common; tokens that are common to the last letter stay for refining.
-    usable = sized.where(F.col("size") <= BLOCK).groupBy("field", "name", "number", "at").agg(F.min_by("key", "len").alias("key")).select("field", "name", "number", "key")
-    common = sized.groupBy("field", "name", "number", "at").agg(F.max_by("key", "len").alias("key"), F.min("size").alias("least")).where(F.col("least") > BLOCK).select("field", "name", "number", "key")
-    other = keys.where((F.col("len") == MIN_SUFFIX) | F.col("key").startswith("=")).select("field", "name", F.col("key").alias("with")).distinct()
-    refined = (
-        common.join(other, ["field", "name"])
-        .where(F.expr("not startswith(reverse(substring(key, 2)), reverse(substring(with, 2))) and substring(key, 2) <> substring(with, 2)"))
-        .select("field", "name", "number", F.concat_ws("+", F.least("key", "with"), F.greatest("key", "with")).alias("key"))
-    )
-    return usable.unionByName(refined).select("field", "name", F.concat_ws("#", "number", "key").alias("key")).distinct()
+                out += [(f, s, f"{p.number}#{key}") for key in suffix_keys(p)]
+            yield pd.DataFrame(out, columns=["field", "name", "key"])
+
+    return durable(strings.select("field", "name").repartition(parallelism(strings.sparkSession), "name").mapInPandas(run, "field string, name string, key string").distinct())
 
 
 def links(strings: DataFrame, series: frozenset[str], accept: float = ACCEPT) -> DataFrame:
@@ -134,7 +118,7 @@ def links(strings: DataFrame, series: frozenset[str], accept: float = ACCEPT) ->
                 (na, ga, ca), (nb, gb, cb) = parts(f, a), parts(f, b)
                 if na != nb or ga is not None and gb is not None and len(ga & gb) < LEAST_LETTERS * min(len(ga), len(gb)):
                     continue
-                if (s := names.similarity(ca, cb)) >= accept:
+                if (s := names.similarity(ca, cb, accept)) >= accept:
                     out.append((f, a, b, s))
             yield pd.DataFrame(out, columns=["field", "name_a", "name_b", "score"])
 

@@ -94,6 +94,15 @@ def test_p3_variants(spark):
     assert found == expected
 
 
+def test_p3_spellings_of_common_ends_meet(spark):
+    rng = random.Random(5)
+    other = {"".join(rng.choice("bfghlt") + rng.choice("aeiou") for _ in range(4)) for _ in range(140)}
+    rows = [f"Mindra{t}" for t in other] + [f"{t}osped" for t in other] + ["Mindravekosped", "Mindrawejosped", "Mindravulu", "Tulukosped"]
+    strings = spark.createDataFrame([("title", r) for r in rows], "field string, name string")
+    found = {(r.name_a, r.name_b) for r in variants.links(strings, frozenset()).collect()}
+    assert ("Mindravekosped", "Mindrawejosped") in found
+
+
 def test_p3_nulls_repeats_empty(spark):
     rows = spark.createDataFrame([("Abcdefgh Ij", None), ("Abcdefgh Ij", "q"), (None, "q"), ("Abcdefghh Ij", None)], "p string, q string")
     strings = variants.distinct_strings(rows, {"publisher": "p", "other": "q"})
