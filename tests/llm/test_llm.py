@@ -31,6 +31,12 @@ def test_p1_one_shared_sequence_is_enough(spark):
     assert {tuple(r) for r in linkage.candidates(works, pages).collect()} == {(287, 476), (288, 477)}
 
 
+def test_p1_common_sequences_make_candidates(spark):
+    works = spark.createDataFrame([(k, "Dadutsidzop", 1988, "game") for k in range(1, 61)], WORKS)
+    pages = spark.createDataFrame([(1, "Dadutsipzob", 1988, None, None, 0.81)], PAGES)
+    assert {tuple(r) for r in linkage.candidates(works, pages).collect()} == {(k, 1) for k in range(1, 61)}
+
+
 def test_p1_empty_tables(spark):
     none, one = spark.createDataFrame([], WORKS), spark.createDataFrame([(1, "A Name", None, None, None, None)], PAGES)
     assert linkage.ties(none, one).isEmpty() and linkage.ties(spark.createDataFrame([(1, "A Name", 1990, "game")], WORKS), spark.createDataFrame([], PAGES)).isEmpty()
