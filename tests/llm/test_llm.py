@@ -37,6 +37,12 @@ def test_p1_common_sequences_make_candidates(spark):
     assert {tuple(r) for r in linkage.candidates(works, pages).collect()} == {(k, 1) for k in range(1, 61)}
 
 
+def test_p1_names_without_vowels_are_compared(spark):
+    works = spark.createDataFrame([(1, "Dadduztidzop", 1988, "game"), (2, "Kelvarmonit", 1988, "game")], WORKS)
+    pages = spark.createDataFrame([(1, "DDDZTDZP", 1988, None, None, 0.81), (2, "Kelvarmonit", 1988, None, None, 0.81)], PAGES)
+    assert {(r.work, r.page) for r in linkage.scored(works, pages).collect()} == {(1, 1), (2, 2)}
+
+
 def test_p1_empty_tables(spark):
     none, one = spark.createDataFrame([], WORKS), spark.createDataFrame([(1, "A Name", None, None, None, None)], PAGES)
     assert linkage.ties(none, one).isEmpty() and linkage.ties(spark.createDataFrame([(1, "A Name", 1990, "game")], WORKS), spark.createDataFrame([], PAGES)).isEmpty()
