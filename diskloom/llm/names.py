@@ -20,7 +20,8 @@ NICKNAMES = {
     "pat": "patricia", "patty": "patricia", "tricia": "patricia", "dick": "richard", "rick": "richard", "rich": "richard", "bob": "robert", "rob": "robert", "bobby": "robert", "sue": "susan", "susie": "susan", "suzy": "susan",
     "tom": "thomas", "tommy": "thomas", "bill": "william", "will": "william", "billy": "william",
 }
-FILLERS = frozenset(("the", "of", "o", "oph", "and", "a", "an", "s"))
+# Articles, conjunctions and torn-off marks of the genitive (o' and 's).
+FILLERS = frozenset(("the", "of", "o", "and", "a", "an", "s"))
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*\.?|&")
 _CAMEL = re.compile(r"(?<=[a-z]{2})(?=[A-Z][a-z])")
@@ -83,7 +84,11 @@ class Name:
         return "".join(self.tokens)
 
 
-def _number(word: str, after: str, first: bool) -> int | None:
+_PARTS = re.compile(r"[:|()]| -|- ")
+
+
+def _number(word: str, after: str, opens: bool, closes: bool) -> int | None:
+    """The series number a word stands for; ``opens`` and ``closes``: a part of the name starts or ends with the word."""
     w = word.lower().rstrip(".")
     if w.isdigit():
         return int(w) if len(w) <= 2 and int(w) > 0 else None
@@ -93,10 +98,10 @@ def _number(word: str, after: str, first: bool) -> int | None:
     if r in ROMAN and not (len(r) == 1 and after[:1].isdigit()):
         return ROMAN[r]
     n = NUMBER_WORDS.get(w)
-    if n is None and not first:  # mistyped
+    if n is None and closes and not opens:  # mistyped
         n = 2 if sorted(w) == ["o", "t", "w"] else next((k for x, k in NUMBER_WORDS.items() if min(len(x), len(w)) >= 4 and ratio(w, x) >= (0.8 if len(x) > 4 else 0.75)), None)
-    if n == 7 and ratio(fold(after), "keis") >= 0.6:  # the words "seven keys" of a subtitle
-        return None
+    if n is not None and not closes and (opens or len(after) > 3 and fold(after).endswith("s")):
+        return None  # a number word that starts a subtitle, or counts a plural, belongs to the name
     return n
 
 
@@ -104,11 +109,15 @@ def parse(text: str, series: bool) -> Name:
     """Folded tokens of a name without fillers; with ``series``, its number in a series (1 if it has none)."""
     text = base_letters(text)
     text = _CAMEL.sub(" ", text)
-    words = _TOKEN.findall(text)
+    found = list(_TOKEN.finditer(text))
     number, tokens, short = 1, [], []
-    for k, w in enumerate(words):
+    for k, m in enumerate(found):
+        w = m.group()
         if series:
-            n = _number(w, words[k + 1] if k + 1 < len(words) else "", not tokens)
+            after = found[k + 1] if k + 1 < len(found) else None
+            opens = k == 0 or bool(_PARTS.search(text, found[k - 1].end(), m.start()))
+            closes = after is None or bool(_PARTS.search(text, m.end(), after.start()))
+            n = _number(w, after.group() if after else "", opens and k > 0, closes) if k or w.isdigit() or closes else None
             if n is not None:
                 number = n
                 continue
@@ -117,9 +126,10 @@ def parse(text: str, series: bool) -> Name:
         dotted = w.endswith(".")
         w = w.rstrip(".").replace("'", "").replace("’", "")
         low = w.lower()
-        if low in FILLERS or low == "&" or not low:
+        folded = fold(ABBREVIATIONS.get(low, low))
+        if low in FILLERS or folded in FILLERS or low == "&" or not low:
             continue
-        tokens.append(fold(ABBREVIATIONS.get(low, low)))
+        tokens.append(folded)
         short.append(dotted)
     return Name(number, tokens, short)
 
@@ -215,6 +225,10 @@ class Vocabulary:
                         return [rest]
         return [token]
 
+    def stands_out(self, name: Name) -> list[str]:
+        """The tokens to index a name by: its core, or all its tokens."""
+        return [t for t in self.split(name)[0] if len(t) > 1] or name.tokens
+
     def split(self, name: Name) -> tuple[list[str], list[str]]:
         """(core tokens, common words) of a name; a name of common words only is all core."""
         core, common = [], []
@@ -259,11 +273,16 @@ def core_ratio(a: list[str], b: list[str]) -> float:
     return best
 
 
+def common_share(a: list[str], b: list[str]) -> float | None:
+    """Share of the shorter list of common words that the longer one has too; None if one has none."""
+    few, many = sorted((a, b), key=len)
+    return sum(any(t == u or likeness(t, u) >= COMMON_LIKE or t.startswith(u) or u.startswith(t) for u in many) for t in few) / len(few) if few else None
+
+
 def similarity(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]], least: float = 0.0) -> float:
     """Similarity in [0, 1] of two split names: cores by common subsequence, common words by overlap of the shorter list; 0 if it can't reach ``least``."""
     core = core_ratio(a[0], b[0])
     if CORE * core + (1 - CORE) < least - 1e-9:
         return 0.0
-    few, many = sorted((a[1], b[1]), key=len)
-    shared = sum(any(t == u or likeness(t, u) >= COMMON_LIKE or t.startswith(u) or u.startswith(t) for u in many) for t in few) / len(few) if few else 1.0
-    return CORE * core + (1 - CORE) * shared
+    shared = common_share(a[1], b[1])
+    return CORE * core + (1 - CORE) * (1.0 if shared is None else shared)

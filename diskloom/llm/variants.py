@@ -1,8 +1,9 @@
 """Variant spellings: suffix blocking, comparison by longest common subsequence, linked classes.
 
 Every distinct string is indexed by its tokens' suffixes (and, read backwards,
-prefixes) of a minimum length. All strings that share one are compared, however
-common it is.
+prefixes) of a minimum length. Overly common suffixes, those of words that occur
+in many names, give way to those of the other tokens of the name. All strings
+that share one are compared, however many they are.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ MIN_SUFFIX = 5
 COMMON_SHARE, COMMON_LEAST = 0.01, 8
 #: Least share of three-letter groups in common for a pair to be compared in full (names without vowels always are).
 LEAST_LETTERS = 0.25
+#: Strings of a block that one task meets with all of the block.
+HOT_BLOCK = 2_000
 #: Two strings are linked from this similarity on.
 ACCEPT = 0.84
 
@@ -60,44 +64,64 @@ def vocabularies(strings: DataFrame, series: frozenset[str]) -> dict[str, names.
     return {f: names.Vocabulary(r["token"] for r in common if r["field"] == f) for f in fields}
 
 
-def suffix_keys(parsed: names.Name) -> set[str]:
-    """The shortest suffix and prefix in the index of each of a name's tokens, short tokens whole, and the name's consonants."""
+def suffix_keys(parsed: names.Name, vocabulary: names.Vocabulary | None) -> set[str]:
+    """The shortest suffix and prefix in the index of each of a name's tokens, short tokens whole, and the name's consonants.
+
+    Suffixes of common words would be common too; they are refined by the rest of
+    the name, which leaves the tokens that tell names apart. A name of common
+    words only is indexed whole, and meets only its like.
+    """
     out = set()
-    for t in {*parsed.tokens, parsed.joined}:
+    telling = vocabulary.stands_out(parsed) if vocabulary else parsed.tokens
+    for t in {*telling, "".join(telling)}:
         if len(t) >= MIN_SUFFIX:
             out |= {f">{t[-MIN_SUFFIX:]}", f"<{t[::-1][-MIN_SUFFIX:]}"}
         elif len(t) > 1:
             out.add(f"={t}")
-    if len(c := names.consonants(parsed.joined)) >= 4:
-        out.add(f"~{c}")
+    for c in {names.consonants("".join(telling)), names.consonants(parsed.joined)}:
+        if len(c) >= 4:
+            out.add(f"~{names.fold(c)}")
     return out
 
 
-def blocks(strings: DataFrame, series: frozenset[str]) -> DataFrame:
+def blocks(strings: DataFrame, series: frozenset[str], shared: Broadcast) -> DataFrame:
     """``field``, ``name``, ``key`` of the blocks to compare within: longer suffixes in common imply the shortest, so every pair that shares one meets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = shared.value
         for frame in frames:
             out = []
             for f, s in zip(frame["field"], frame["name"], strict=True):
                 p = names.parse(s, f in series)
-                out += [(f, s, f"{p.number}#{key}") for key in suffix_keys(p)]
+                out += [(f, s, f"{p.number}#{key}") for key in suffix_keys(p, vocabulary.get(f))]
             yield pd.DataFrame(out, columns=["field", "name", "key"])
 
-    return durable(strings.select("field", "name").repartition(parallelism(strings.sparkSession), "name").mapInPandas(run, "field string, name string, key string").distinct())
+    return strings.select("field", "name").repartition(parallelism(strings.sparkSession), "name").mapInPandas(run, "field string, name string, key string").distinct()
 
 
-def links(strings: DataFrame, series: frozenset[str], accept: float = ACCEPT) -> DataFrame:
-    """``field``, ``name_a``, ``name_b``, ``score`` of compared strings that are alike; in ``series`` fields only within one number."""
-    shared = strings.sparkSession.sparkContext.broadcast(vocabularies(strings, series))
-    keyed = blocks(strings, series)
-    pairs = (
-        keyed.alias("a")
-        .join(keyed.alias("b"), [F.col("a.field") == F.col("b.field"), F.col("a.key") == F.col("b.key"), F.col("a.name") < F.col("b.name")])
+def pairs_within(keyed: DataFrame, hot: int = HOT_BLOCK) -> DataFrame:
+    """``field``, ``name_a``, ``name_b``: distinct pairs of strings of one block, name_a < name_b.
+
+    A block of more than ``hot`` strings is dealt to several tasks: each takes a
+    share of the strings and meets them with all of the block.
+    """
+    counted = keyed.groupBy("field", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("shares", F.ceil(F.col("n") / hot).cast("int")).drop("n")
+    members = keyed.join(counted, ["field", "key"])
+    dealt = members.withColumn("share", F.pmod(F.xxhash64("name"), F.col("shares")).cast("int"))
+    every = members.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return (
+        dealt.alias("a")
+        .join(every.alias("b"), [F.col("a.field") == F.col("b.field"), F.col("a.key") == F.col("b.key"), F.col("a.share") == F.col("b.share"), F.col("a.name") < F.col("b.name")])
         .select(F.col("a.field").alias("field"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"))
         .distinct()
     )
 
+
+def links(strings: DataFrame, series: frozenset[str], accept: float = ACCEPT, hot: int = HOT_BLOCK) -> DataFrame:
+    """``field``, ``name_a``, ``name_b``, ``score`` of compared strings that are alike; in ``series`` fields only within one number."""
+    shared = strings.sparkSession.sparkContext.broadcast(vocabularies(strings, series))
+    pairs = pairs_within(durable(blocks(strings, series, shared)), hot)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = shared.value
         cut: dict[tuple[str, str], tuple] = {}
