@@ -1,39 +1,46 @@
 """Typed names mapped to the entries of a reference list, or reported as unmatched.
 
 Distinct names are normalised once; an inverted index of character n-grams over
-the list's titles retrieves candidates, a weighted cosine ranks them, and the
-best is accepted above a threshold and with a margin over the next title. Parts
-of the name that tell entries of one title apart then choose the entry.
+the list's titles, a table of postings, gives every title that shares one, the
+weighted cosine ranks them, and the best is accepted above a threshold and with
+a margin over the next title. Parts of the name that tell entries of one title
+apart then choose the entry.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import parallelism
+from ..functions.naming import LANGUAGES
+from ..session import durable, parallelism
 from . import names
 
 GRAM = 3
-#: Titles looked at closely per name, score to accept one, lead over the next title.
-LOOKED_AT, ACCEPT, MARGIN = 4, 0.8, 0.03
-#: Entries held by the workers at once; a longer list is matched in parts, whose best titles are then compared.
-PART = 50_000
-
-# Words for languages, disks and previews in typed names.
-LANGUAGES = {
-    "en": ("en", "eng", "english", "uk version", "uk"), "de": ("de", "ger", "german", "deutsch"), "fr": ("fr", "fre", "fra", "french", "francais", "français"),
-    "es": ("es", "esp", "spa", "spanish", "espanol", "español"), "it": ("it", "ita", "italian", "italiano"),
+#: Weighted cosine from which a title is meant, and its lead over the next one.
+ACCEPT, MARGIN = 0.33, 0.08
+#: A title under this cosine must also show its words in the typed name, to this degree.
+SURE, SHOWN = 0.65, 0.8
+#: A word of the list is common if it stands in this share of the titles, and at least in LEAST of them.
+COMMON_SHARE, COMMON_LEAST = 0.008, 5
+#: Tables of up to this many rows are broadcast; larger ones are joined by a shuffle, with the same result.
+BROADCAST_ROWS = 1_000_000
+
+# Words for languages in typed names beside their codes.
+LANGUAGE_WORDS = {
+    "en": ("eng", "english", "uk version"), "de": ("ger", "german", "deutsch"), "fr": ("fre", "fra", "french", "francais"), "es": ("esp", "spa", "spanish", "espanol"), "it": ("ita", "italian", "italiano"),
+    "nl": ("dutch", "nederlands"), "se": ("swedish", "svenska"), "da": ("danish", "dansk"), "pl": ("polish", "polski"), "cs": ("czech", "cesky"), "pt": ("portuguese", "portugues"), "fi": ("finnish", "suomi"),
+    "no": ("norwegian", "norsk"), "gr": ("greek",), "hu": ("hungarian", "magyar"), "ru": ("russian",), "us": ("american", "us version"), "au": ("australian",), "jp": ("japanese",), "mul": ("multilingual",),
 }
-_LANGUAGE_OF = {w: code for code, many in LANGUAGES.items() for w in many}
+#: Codes of one language in several countries.
+ENGLISH = frozenset(("en", "uk", "us", "au"))
+_LANGUAGE_OF = {code: code for code in LANGUAGES} | {w: code for code, many in LANGUAGE_WORDS.items() for w in many}
 
 _FOLDER = re.compile(r"^.*[/\\]")
 _EXTENSION = re.compile(r"(?:\s*-\s*copy|\.(?:adf|adz|dms|zip|bak|ipf|gz|lha))+$", re.I)
@@ -80,7 +87,7 @@ def take_apart(name: str) -> Typed:
 
     def language(m: re.Match) -> str:
         word = re.sub(r"[ ._\-]+", " ", m.group().lower())
-        bare = len(word) == 2 and s[max(0, m.start() - 1):m.start()] not in ("[", "(")
+        bare = word in LANGUAGES and s[max(0, m.start() - 1):m.start()] not in ("[", "(")
         if bare:
             return m.group()
         out.language = _LANGUAGE_OF.get(word, out.language)
@@ -105,221 +112,189 @@ def take_apart(name: str) -> Typed:
     return out
 
 
-@dataclass
-class Entry:
-    dat_id: int
-    version: str | None
-    disk: int | None
-    language: str | None
-    crack: str | None
-    demo: bool
-
-
 _ENTRY_DISK = re.compile(r"^disk (\d+) of \d+$", re.I)
 _LISTED = re.compile(r"\(([^()]*)\)|\[([^\[\]]*)\]")
 
 
-def listed(dat_id: int, name: str) -> tuple[str, Entry]:
-    """(title, entry) of a list name: title without subtitle, version, groups in parentheses, dump tags."""
+def listed(name: str) -> Typed:
+    """Parts of a list name: title without subtitle, version, groups in parentheses, dump tags."""
     head = re.split(r"[(\[]", name, maxsplit=1)[0].strip()
-    e = Entry(dat_id, None, None, None, None, False)
+    e = Typed("")
     m = re.search(r"(?:^| )[vV](\d\S*)$", head)
     if m:
         e.version, head = m.group(1).lower(), head[:m.start()].strip()
     for a, b in _LISTED.findall(name):
+        a = a.strip()
         if b:
             if b.startswith("cr"):
                 e.crack = b[2:].strip()
-        elif d := _ENTRY_DISK.match(a.strip()):
+        elif d := _ENTRY_DISK.match(a):
             e.disk = int(d.group(1))
-        elif a.strip().lower() in LANGUAGES:
-            e.language = a.strip().lower()
-        elif _DEMO.fullmatch(a.strip()):
+        elif a.lower() in LANGUAGES:
+            e.language = a.lower()
+        elif _DEMO.fullmatch(a):
             e.demo = True
-    return re.split(r": | - ", head)[0].strip() or name, e
+    e.title = re.split(r": | - ", head)[0].strip() or name
+    return e
+
+
+def grams(text: str) -> list[int]:
+    """Distinct n-grams of a text with its ends marked, each as one number."""
+    x = [2, *map(ord, text), 3]
+    return sorted({sum(c << 21 * (GRAM - 1 - k) for k, c in enumerate(x[at:at + GRAM])) for at in range(len(x) - GRAM + 1)}) if text else []
+
+
+def shown(tokens: list[str], short: list[bool], core: list[str], common: list[str]) -> float:
+    """How much of a title's core and common words a typed name shows, the core weighing more."""
+    text = "".join(tokens)
+    total = 0.0
+    for t in core:
+        best = 1.0 if t in text and len(t) > 4 else 0.0
+        for k, u in enumerate(tokens):
+            if best == 1.0:
+                break
+            s = names.likeness(t, u, False, short[k])
+            best = max(best, s if len(u) > 1 or t == u else 0.0)
+            if best < 0.9 and len(u) > len(t) + 2:  # words run together
+                best = max(best, names.lcs(t, u[:len(t) + 1]) / len(t) * 0.97, names.lcs(t, u[-len(t) - 1:]) / len(t) * 0.97)
+            if best < 0.9 and k + 1 < len(tokens):  # a word torn apart
+                best = max(best, names.ratio(t, u + tokens[k + 1]))
+        total += len(t) * best
+    words = sorted((max([1.0 if len(w) > 4 and w in text else 0.0, *(names.likeness(w, u, False, short[k]) if len(u) > 1 else float(u == w[0]) for k, u in enumerate(tokens))]) for w in common), reverse=True)
+    whole = total / (sum(map(len, core)) or 1)
+    return 0.85 * whole + 0.15 * words[:2][-1] if words else whole
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-@dataclass
-class Title:
-    parsed: names.Name
-    text: str
-    core: list[str] = field(default_factory=list)
-    common: list[str] = field(default_factory=list)
-    entries: dict[int, list[Entry]] = field(default_factory=dict)
+class ReferenceList:
+    """A list as tables: ``entries`` of titles, ``titles`` with core and common words, ``postings`` (gram, title, weight squared), ``norms``."""
 
+    def __init__(self, rows: DataFrame, key: str, name: str, most: int):
+        spark = rows.sparkSession
 
-def grams(text: str) -> set[str]:
-    return {text[k:k + GRAM] for k in range(len(text) - GRAM + 1)}
+        def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for k, s in zip(frame["k"], frame["s"], strict=True):
+                    e = listed(s)
+                    p = names.parse(e.title, True)
+                    out.append((k, " ".join(p.tokens), p.number, e.version, e.disk, e.language, e.crack, e.demo))
+                yield pd.DataFrame(out, columns=["dat_id", "base", "number", "version", "disk", "language", "crack", "demo"])
+
+        kept = rows.select(F.col(key).cast("long").alias("k"), F.col(name).alias("s")).where(F.col("k").isNotNull() & F.col("s").isNotNull()).distinct()
+        entries = durable(kept.mapInPandas(take, "dat_id long, base string, number int, version string, disk int, language string, crack string, demo boolean"))
+        # Every list title once, numbered by hash bucket and place in it.
+        bases = entries.where("base <> ''").select("base").distinct().withColumn("bucket", F.pmod(F.xxhash64("base"), F.lit(1 << 16)))
+        bases = durable(bases.select("base", (F.shiftleft(F.col("bucket"), 32) + F.row_number().over(Window.partitionBy("bucket").orderBy("base"))).alias("title")))
+        self.size = bases.count()
+        tokens = bases.select("title", F.explode(F.array_distinct(F.split("base", " "))).alias("t")).where("length(t) > 3").groupBy("t").agg(F.count("*").alias("n"))
+        # The share bounds the number of common words, whatever the size of the list.
+        common = [r["t"] for r in tokens.where(F.col("n") >= max(COMMON_LEAST, COMMON_SHARE * self.size)).collect()]
+        shared = spark.sparkContext.broadcast(names.Vocabulary(common))
+
+        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                split = [shared.value.split(names.Name(1, b.split(), [False] * len(b.split()))) for b in frame["base"]]
+                yield pd.DataFrame({"title": frame["title"], "base": frame["base"], "core": [" ".join(c) for c, _ in split], "common": [" ".join(c) for _, c in split], "grams": [grams("".join(b.split())) for b in frame["base"]]})
 
+        titles = durable(bases.mapInPandas(cut, "title long, base string, core string, common string, grams array<long>"))
+        each = titles.select("title", F.explode("grams").alias("gram"))
+        weights = each.groupBy("gram").agg((F.log(1 + F.lit(float(self.size)) / F.count("*")) ** 2).alias("w"))
+        self.weights = _small(durable(weights), most)
+        postings = durable(each.join(self.weights, "gram"))
+        self.norms = postings.groupBy("title").agg(F.sqrt(F.sum("w")).alias("norm"))
+        self.postings = _small(postings, most)
+        self.titles = titles.drop("grams", "base").join(self.norms, "title")
+        # Of entries that nothing tells apart the first is meant.
+        details = ("core", "number", "version", "disk", "language", "crack", "demo")
+        self.entries = entries.join(titles.select("base", "core"), "base").groupBy(*details).agg(F.min("dat_id").alias("dat_id"))
+        self.rare = float(math.log(1 + self.size) ** 2)
 
-class ReferenceList:
-    """Titles of a list without their series numbers, under an inverted index of n-grams."""
-
-    def __init__(self, entries: list[tuple[int, str]]):
-        by_base: dict[tuple[str, ...], Title] = {}
-        for dat_id, name in entries:
-            head, entry = listed(dat_id, name)
-            p = names.parse(head, True)
-            title = by_base.setdefault(tuple(p.tokens), Title(p, p.joined))
-            title.entries.setdefault(p.number, []).append(entry)
-        self.titles = list(by_base.values())
-        seen = Counter(t for x in self.titles for t in set(x.parsed.tokens))
-        self.vocabulary = names.Vocabulary(t for t, n in seen.items() if len(t) > 3 and n >= max(5, 0.008 * len(self.titles)))
-        # The core names the series.
-        self.series: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        postings: dict[str, list[int]] = defaultdict(list)
-        for k, t in enumerate(self.titles):
-            t.core, t.common = self.vocabulary.split(t.parsed)
-            self.series[tuple(t.core)].append(k)
-            for g in grams(t.text):
-                postings[g].append(k)
-        many = len(self.titles)
-        self.weight = {g: math.log(1 + many / len(at)) for g, at in postings.items()}
-        self.rare = math.log(1 + many)
-        self.postings = {g: np.array(at, np.int32) for g, at in postings.items()}
-        self.norm = np.array([math.sqrt(sum(self.weight[g] ** 2 for g in grams(t.text))) or 1.0 for t in self.titles])
-
-    def retrieve(self, text: str) -> list[tuple[int, float]]:
-        """Best titles by weighted cosine of n-grams."""
-        own = grams(text)
-        known = [g for g in own if g in self.postings]
-        if not known:
-            return []
-        at = np.concatenate([self.postings[g] for g in known])
-        w = np.repeat([self.weight[g] ** 2 for g in known], [len(self.postings[g]) for g in known])
-        dots = np.bincount(at, w, len(self.titles)) / self.norm
-        length = math.sqrt(sum(self.weight.get(g, self.rare) ** 2 for g in own))
-        best = np.argpartition(-dots, min(LOOKED_AT, len(dots) - 1))[:LOOKED_AT]
-        return sorted(((int(k), float(dots[k] / length)) for k in best if dots[k] > 0), key=lambda x: (-x[1], x[0]))
-
-    def score(self, name: names.Name, title: Title) -> float:
-        """How much of a title's core and common words a name shows, the core weighing more."""
-        text = name.joined
-        whole = sum(map(len, title.core)) or 1
-        shown = 0.0
-        for t in title.core:
-            best = 1.0 if t in text and len(t) > 4 else 0.0
-            for k, u in enumerate(name.tokens):
-                if best == 1.0:
-                    break
-                s = names.likeness(t, u, False, name.short[k])
-                best = max(best, s if len(u) > 1 else 0.0)
-                if best < 0.9 and len(u) > len(t) + 2:  # words run together
-                    best = max(best, names.lcs(t, u[:len(t) + 1]) / len(t) * 0.97, names.lcs(t, u[-len(t) - 1:]) / len(t) * 0.97)
-                if best < 0.9 and k + 1 < len(name.tokens):  # a word torn apart
-                    best = max(best, names.ratio(t, u + name.tokens[k + 1]))
-            shown += len(t) * best
-        common = [
-            max([1.0 if len(w) > 4 and w in text else 0.0, *(names.likeness(w, u, False, name.short[k]) if len(u) > 1 else float(u == w[0]) for k, u in enumerate(name.tokens))])
-            for w in title.common
-        ]
-        core = shown / whole
-        if not common:
-            return core
-        return 0.85 * core + 0.15 * sorted(common, reverse=True)[:2][-1] if len(common) > 1 else 0.85 * core + 0.15 * common[0]
-
-    def best(self, text: str) -> list[tuple[float, int, names.Name]]:
-        """Titles that a typed title may mean, best first."""
-        p = names.parse(text, True)
-        if sum(map(len, p.tokens)) < 4:
-            return []
-        return sorted(((self.score(p, self.titles[k]), -k, p) for k, _ in self.retrieve(p.joined)), key=lambda x: x[:2], reverse=True)
-
-    def entry(self, core: tuple[str, ...], number: int, typed: Typed) -> tuple[tuple, int] | None:
-        """(fit, id) of the entry of a series and number that fits a typed name best; None if the list lacks the number."""
-        found = [e for k in self.series.get(core, ()) for e in self.titles[k].entries.get(number, ())]
-        if not found:
-            return None
-
-        def fit(e: Entry) -> tuple:
-            crack = names.ratio(names.parse(typed.crack, False).joined, names.parse(e.crack, False).joined) if typed.crack and e.crack else 0.5 if typed.crack is not None and e.crack is not None else 0.0
-            agree = lambda mine, theirs: 0.0 if mine is None else 1.0 if mine == theirs else -1.0
-            return (
-                agree(typed.disk, e.disk) + agree(typed.version, e.version) + agree(typed.language, e.language)
-                + (crack if typed.crack is not None else -1.0 if e.crack is not None else 0.0) + (0.5 if typed.demo == e.demo else 0.0),
-                -(e.disk or 0), e.version is None, e.language in (None, "en"), -e.dat_id,
-            )
-
-        return max((fit(e), e.dat_id) for e in found)
-
-
-def parts(entries: DataFrame, key: str, name: str) -> Iterator[list[tuple[int, str]]]:
-    """The list in parts of bounded size."""
-    block: list[tuple[int, str]] = []
-    for k, s in entries.select(key, name).where(F.col(key).isNotNull() & F.col(name).isNotNull()).distinct().orderBy(name, key).toLocalIterator():
-        block.append((k, s))
-        if len(block) >= PART:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-_FOUND = "name string, score double, core string, number int, version string, disk int, language string, crack string, demo boolean"
-
-
-def map_names(typed: DataFrame, entries: DataFrame, uid: str = "uid", name: str = "name", entry_key: str = "dat_id", entry_name: str = "name", accept: float = ACCEPT, margin: float = MARGIN) -> DataFrame:
+    def cosines(self, queries: DataFrame) -> DataFrame:
+        """``query``, ``title``, ``cosine`` of every title that shares a gram with a query (``query``, ``grams``)."""
+        own = queries.repartition(parallelism(queries.sparkSession), "query").select("query", F.explode("grams").alias("gram"))
+        lengths = own.join(self.weights, "gram", "left").groupBy("query").agg(F.sqrt(F.sum(F.coalesce("w", F.lit(self.rare)))).alias("length"))
+        dots = own.join(self.postings, "gram").groupBy("query", "title").agg(F.sum("w").alias("dot"))
+        return dots.join(lengths, "query").join(_small(self.norms, BROADCAST_ROWS), "title").select("query", "title", (F.col("dot") / F.col("length") / F.col("norm")).alias("cosine"))
+
+
+_TYPED = "name string, tokens string, short string, grams array<long>, number int, version string, disk int, language string, crack string, demo boolean"
+_DETAILS = ("number", "version", "disk", "language", "crack", "demo")
+
+
+def _fit(mine: Column, theirs: Column) -> Column:
+    return F.when(mine.isNull(), 0.0).when(mine.eqNullSafe(theirs), 1.0).otherwise(-1.0)
+
+
+def map_names(typed: DataFrame, entries: DataFrame, uid: str = "uid", name: str = "name", entry_key: str = "dat_id", entry_name: str = "name", accept: float = ACCEPT, margin: float = MARGIN,
+              broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``uid``, ``dat_id`` of every uid in ``typed`` (rows ``uid``, ``name``, several names each): the entry its names mean, 0 for none.
 
     Null, empty and letterless names mean nothing; a uid that has only such
     names gets 0; null uids are left out; repeats change nothing; an empty list
     gives 0 throughout. Names of one uid that mean the same title complete each
-    other's details.
+    other's details. The list may be of any size: tables beyond
+    ``broadcast_rows`` rows take shuffle joins.
     """
-    spark = typed.sparkSession
-    kinds = f"{uid} {typed.schema[uid].dataType.simpleString()}, {entry_key} long"
+    reference = ReferenceList(entries, entry_key, entry_name, broadcast_rows)
     pairs = typed.where(F.col(uid).isNotNull()).select(F.col(uid).alias("uid"), F.col(name).alias("name")).distinct()
-    lists = [ReferenceList(block) for block in parts(entries, entry_key, entry_name)]
-    if not lists:
-        return pairs.select(F.col("uid").alias(uid)).distinct().withColumn(entry_key, F.lit(0).cast("long"))
-    shared = [spark.sparkContext.broadcast(x) for x in lists]
-    distinct = pairs.where(F.col("name").isNotNull()).select("name").distinct().repartition(parallelism(spark))
-    found = None
-    for held in shared:
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            reference = held.value
-            columns = [c.split()[0] for c in _FOUND.split(", ")]
-            for frame in frames:
-                out = []
-                for s in frame["name"]:
-                    t = take_apart(s)
-                    best = reference.best(t.title)
-                    for rank, (score, k, p) in enumerate(best[:2]):
-                        core = reference.titles[-k].core
-                        if score >= accept - margin and (rank == 0 or core != reference.titles[-best[0][1]].core):
-                            out.append((s, score, "\u0001".join(core), p.number, t.version, t.disk, t.language, t.crack, t.demo))
-                yield pd.DataFrame(out, columns=columns)
-
-        part = distinct.mapInPandas(run, _FOUND)
-        found = part if found is None else found.unionByName(part)
-    # Of each name: the best title, and how far the next one is behind. A title in several parts of the list is one.
-    best = F.struct("core", "number", "version", "disk", "language", "crack", "demo")
-    titles = found.groupBy("name", "core").agg(F.max_by(best, "score").alias("best"), F.max("score").alias("score"))
-    ranked = titles.groupBy("name").agg(F.max_by("best", F.struct("score", "core")).alias("best"), F.max("score").alias("score"), F.sort_array(F.collect_list("score"), False).alias("scores"))
-    sure = ranked.where((F.col("score") >= accept) & ((F.size("scores") < 2) | (F.col("score") - F.element_at("scores", F.when(F.size("scores") < 2, 1).otherwise(2)) >= margin))).select("name", "score", "best.*")
+
+    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for s in frame["name"]:
+                t = take_apart(s)
+                p = names.parse(t.title, True)
+                out.append((s, " ".join(p.tokens), "".join("01"[x] for x in p.short), grams(p.joined), p.number, t.version, t.disk, t.language, t.crack, t.demo))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _TYPED.split(", ")])
+
+    distinct = pairs.where(F.col("name").isNotNull()).select("name").distinct().repartition(parallelism(typed.sparkSession))
+    taken = durable(distinct.mapInPandas(take, _TYPED).withColumn("query", F.monotonically_increasing_id()))
+    close = reference.cosines(taken.select("query", "grams")).where(F.col("cosine") >= accept - margin).join(reference.titles, "title")
+    # Titles of one core are one series; the next best of another core is the rival.
+    series = close.groupBy("query", "core").agg(F.max("cosine").alias("cosine"), F.max_by("common", "cosine").alias("common"))
+    place = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "core")
+    first = series.withColumns({"place": F.row_number().over(place), "next": F.coalesce(F.lead("cosine").over(place), F.lit(0.0))}).where((F.col("place") == 1) & (F.col("cosine") >= accept) & (F.col("cosine") - F.col("next") >= margin))
+    ranked = durable(taken.drop("grams").join(first.select("query", "core", "common", "cosine"), "query"))
+
+    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[shown(r.tokens.split(), [x == "1" for x in r.short], r.core.split(), r.common.split()) >= SHOWN for r in frame.itertuples(index=False)]]
+
+    doubtful = ranked.where(F.col("cosine") < SURE)
+    sure = ranked.where(F.col("cosine") >= SURE).unionByName(doubtful.mapInPandas(confirm, doubtful.schema)).select("name", "core", "cosine", *_DETAILS)
     meant = pairs.join(sure, "name")
-    title = meant.groupBy("uid").agg(F.max_by("core", F.struct("score", "core")).alias("title"))
+    title = meant.groupBy("uid").agg(F.max_by("core", F.struct("cosine", "core")).alias("title"))
     details = (
         meant.join(title, "uid")
         .where(F.col("core") == F.col("title"))
         .groupBy("uid", "core")
-        .agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("score", "name"))).alias(c) for c in ("version", "disk", "language", "crack")), F.max("number").alias("number"), F.max("demo").alias("demo"))
+        .agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("cosine", "name"))).alias(c) for c in ("version", "disk", "language", "crack")), F.max("number").alias("number"), F.max("demo").alias("demo"))
     )
+    offered = details.alias("t").join(reference.entries.alias("e"), [F.col("t.core") == F.col("e.core"), F.col("t.number") == F.col("e.number")])
+    offered = offered.select("uid", "dat_id", *(F.col(f"t.{c}").alias(f"my_{c}") for c in _DETAILS[1:]), *(F.col(f"e.{c}").alias(c) for c in _DETAILS[1:]))
 
-    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clean = lambda x: None if x is None or x != x else x
+    def cracks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        likeness = lambda a, b: names.ratio(names.parse(a, False).joined, names.parse(b, False).joined) if a and b else 0.5
         for frame in frames:
-            ids = []
-            for r in frame.itertuples(index=False):
-                t = Typed("", clean(r.version), None if clean(r.disk) is None else int(r.disk), clean(r.language), clean(r.crack), bool(r.demo))
-                fits = [f for held in shared if (f := held.value.entry(tuple(r.core.split("\u0001")), int(r.number), t))]
-                ids.append(max(fits)[1] if fits else 0)
-            yield pd.DataFrame({uid: frame["uid"], entry_key: ids})
-
-    entry = details.mapInPandas(resolve, kinds)
-    every = pairs.select(F.col("uid").alias(uid)).distinct()
-    return every.join(entry, uid, "left").select(uid, F.coalesce(entry_key, F.lit(0).cast("long")).alias(entry_key))
+            yield frame.assign(crack_fit=[0.0 if a is None or b is None else likeness(a, b) for a, b in zip(frame["my_crack"], frame["crack"], strict=True)])
+
+    both = F.col("my_crack").isNotNull() & F.col("crack").isNotNull()
+    named = offered.where(both).mapInPandas(cracks, offered.withColumn("crack_fit", F.lit(0.0)).schema)
+    rated = offered.where(~both).withColumn("crack_fit", F.when(F.col("my_crack").isNull() & F.col("crack").isNotNull(), -1.0).otherwise(0.0)).unionByName(named)
+    english = F.col("my_language").isin(*ENGLISH) & F.col("language").isin(*ENGLISH) & (F.col("my_language") != F.col("language"))
+    agreement = (
+        _fit(F.col("my_disk"), F.col("disk")) + _fit(F.col("my_version"), F.col("version")) + F.when(english, 0.9).otherwise(_fit(F.col("my_language"), F.col("language")))
+        + F.col("crack_fit") + F.when(F.col("my_demo") == F.col("demo"), 0.5).otherwise(0.0)
+    )
+    # Of entries that fit alike the lowest disk, then one without version, without language or in English, then the first is meant.
+    order = F.struct(agreement.alias("a"), (-F.coalesce("disk", F.lit(0))).alias("d"), F.col("version").isNull().alias("v"), F.coalesce(F.col("language") == "en", F.lit(True)).alias("l"), (-F.col("dat_id")).alias("i"))
+    entry = rated.groupBy("uid").agg(F.max_by("dat_id", order).alias("_id"))
+    return pairs.select("uid").distinct().join(entry, "uid", "left").select(F.col("uid").alias(uid), F.coalesce("_id", F.lit(0).cast("long")).alias(entry_key))
 
 
 def quarantined_names(quarantine: DataFrame, artifact: DataFrame) -> DataFrame:

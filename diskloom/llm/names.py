@@ -84,6 +84,7 @@ class Name:
         return "".join(self.tokens)
 
 
+_GIVEN = frozenset(NICKNAMES.values())
 _PARTS = re.compile(r"[:|()]| -|- ")
 
 
@@ -100,7 +101,8 @@ def _number(word: str, after: str, opens: bool, closes: bool) -> int | None:
     n = NUMBER_WORDS.get(w)
     if n is None and closes and not opens:  # mistyped
         n = 2 if sorted(w) == ["o", "t", "w"] else next((k for x, k in NUMBER_WORDS.items() if min(len(x), len(w)) >= 4 and ratio(w, x) >= (0.8 if len(x) > 4 else 0.75)), None)
-    if n is not None and not closes and (opens or len(after) > 3 and fold(after).endswith("s")):
+    counted = len(after) > 3 and after.lower().endswith("s") and after.lower() not in _GIVEN
+    if n is not None and not closes and (opens or counted):
         return None  # a number word that starts a subtitle, or counts a plural, belongs to the name
     return n
 
