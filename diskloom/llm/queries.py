@@ -49,6 +49,10 @@ def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.consolidated(table(spark, folder, "artifact"))
 
 
+def p5_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    return survivor.spellings(table(spark, folder, "artifact"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_copies": p4_copies,
     "p5_found": p5_found,
     "p5_records": p5_records,
+    "p5_spellings": p5_spellings,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
