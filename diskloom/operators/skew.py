@@ -13,11 +13,15 @@ HOT_ROWS = 1_000_000
 def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner equi-join of ``rows`` with ``keyed``, which is unique on ``on``.
 
-    ``keyed[count]`` is the number of rows of each key in ``rows``. Keys beyond
-    ``hot_rows`` are joined by broadcasting their (provably few) entries, so no
-    task receives all rows of a hot key; all other keys take a shuffle join.
-    Null keys match nothing. The count column is dropped from the result.
+    ``keyed[count]`` is the number of rows of each key in ``rows``. Rows of a key
+    with more than ``hot_rows`` are dealt to several parts, and the key's entry is
+    repeated for each, so no task receives all rows of a hot key; which keys those
+    are is broadcast, provably few. ``rows`` are read once. Null keys match
+    nothing. The count column is dropped from the result.
     """
-    hot = F.broadcast(keyed.where(F.col(count) > hot_rows).drop(count))
-    rest = keyed.where(F.col(count) <= hot_rows).drop(count)
-    return rows.join(rest, on, "inner").unionByName(rows.join(hot, on, "inner"))
+    parts = F.ceil(F.col(count) / hot_rows).cast("int")
+    hot = keyed.where(F.col(count) > hot_rows).select(*on, parts.alias("_parts"))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).otherwise(0).cast("int")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_parts")
+    repeated = keyed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count)
+    return dealt.join(repeated, [*on, "_part"]).drop("_part")

@@ -51,9 +51,12 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
     unset (local runs and tests) a folder of our own is used.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="diskloom-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="diskloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
