@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.once import once_per_key
+
 #: Distinct splits a worker remembers; beyond it the memory starts afresh (speed only).
 REMEMBERED = 300_000
 #: Splits longer than this many bytes aren't remembered.
@@ -90,29 +92,35 @@ class Bpe:
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank can leave ``left`` and ``right`` as neighbours.
 
-        Undo the later of the two merges step by step; if the pieces that then
-        touch would have merged before, the pair can't stand.
+        Each entry is built by its merges in order of rank, and while it grows its
+        edge towards the other entry is some piece of it. The two stay apart if at
+        no time the two edges present then make an entry of lower rank than the
+        merge that changes one of them next.
         """
-        pair, parts = self.pair, self.parts
-        bound = len(self.length) + 1
+        pair = self.pair
+        edge, other = self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
+        never = len(self.length) + 1
         while True:
-            whole = pair.get((left, right))
-            if whole is not None and whole < bound:
+            whole = pair.get((edge[i], other[j]), never)
+            next_left = edge[i + 1] if i + 1 < len(edge) else never
+            next_right = other[j + 1] if j + 1 < len(other) else never
+            # Of equal ranks the leftmost merge goes first.
+            if whole < next_left and whole <= next_right:
                 return False
-            if left > right:
-                bound, left = left, parts[left][1]
-                if left != bound:
-                    continue
-                bound, right = right + 1, parts[right][0]
-                if right + 1 == bound:
-                    return True
+            if next_left == next_right == never:
+                return True
+            if next_left <= next_right:
+                i += 1
             else:
-                bound, right = right + 1, parts[right][0]
-                if right + 1 != bound:
-                    continue
-                bound, left = left, parts[left][1]
-                if left == bound:
-                    return True
+                j += 1
+
+    def _edge(self, entry: int, side: int) -> list[int]:
+        """Pieces at the right (1) or left (0) edge of an entry while it is merged together, smallest first."""
+        out = [entry]
+        while self.parts[out[-1]][side] != out[-1]:
+            out.append(self.parts[out[-1]][side])
+        return out[::-1]
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one split."""
@@ -178,14 +186,13 @@ def encode_texts(rows: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     Texts are encoded as stored. Null and empty texts give an empty list, a
     null key counts as one key. Rows that repeat a key are encoded once (any one
-    of them, if they differ); they are dropped before the shuffle, so a key that
-    holds much of the table stays in no task as a whole. The shuffle also spreads
-    the texts evenly over the workers. Other columns are ignored.
+    of them, if they differ). Texts are encoded where they are read; only keys are
+    shuffled, to find the repeated ones. Other columns are ignored.
     """
     import pyarrow as pa
 
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
-    once = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
+    once = once_per_key(rows.select(F.col(key).alias("k"), F.col(text).alias("t")), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe(path, pattern)
