@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -19,16 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.once import once_per_key
+
 #: Labelled documents the model is fitted on; more are sampled down by hash of their key.
 MAX_LABELLED = 12_000
 #: Size of the hashed feature space (word parts in the first half, word pairs in the second).
 SPACE = 1 << 19
 HALF = SPACE // 2
-#: Documents and features handled at once while fitting (memory, not results).
-DOCS_AT_ONCE, FEATURES_AT_ONCE = 500, 1 << 20
 #: Features seen in fewer labelled documents than this are left out.
 LEAST_SEEN = 4
-STEPS, RATE, RIDGE = 200, 0.05, 3e-5
+#: Steps and rate of the fit; the ridge is RIDGE over the root of the number of documents, so few labels bind the weights more.
+STEPS, RATE, RIDGE = 120, 0.05, 0.1
 #: A document is a case from this probability on.
 THRESHOLD = 0.5
 
@@ -142,65 +144,71 @@ class Model:
         self.of_word = np.zeros(0)
 
 
+def spread(texts: list[str | None]) -> list[str]:
+    """Plain words of texts as one string each: words parted by spaces, sentences by line ends."""
+    return ["\n".join(" ".join(w) for _, w in sentences(t)) for t in texts]
+
+
 def fit(texts: list[str | None], labels: list[float]) -> Model:
     """Fit the sentence model to document labels in [0, 1] (several verdicts on one document are averaged)."""
-    words, n = Words(), 0
-    features, owners, bags = [], [], []
-    seen = np.zeros(SPACE, np.int32)
-    for first in range(0, len(texts), DOCS_AT_ONCE):
-        number, sent, bag = [], [], []
-        for b, text in enumerate(texts[first:first + DOCS_AT_ONCE], first):
-            for _, s in sentences(text):
-                number += [words(w) for w in s]
-                sent += [n + len(bag)] * len(s)
-                bag.append(b)
-        if not bag:
-            continue
-        parts = [words.parts[k] for k in number]
-        feature, owner = [np.array([f for p in parts for f in p], np.int32)], [np.repeat(np.array(sent, np.int32), [len(p) for p in parts])]
-        h = np.array([words.hash[k] for k in number], np.int64)
-        for gap in GAPS:
-            f, s = pairs(h, np.array(sent, np.int32), gap)
-            feature.append(f.astype(np.int32))
-            owner.append(s)
-        feature, owner, bag = np.concatenate(feature), np.concatenate(owner), np.array(bag, np.int32)
-        seen += np.bincount(np.unique(feature.astype(np.int64) * DOCS_AT_ONCE + bag[owner - n] - first) // DOCS_AT_ONCE, minlength=SPACE).astype(np.int32)
-        features.append(feature)
-        owners.append(owner)
-        bags.append(bag)
-        n += len(bag)
+    return fit_words(spread(texts), labels)
+
+
+def fit_words(spread_texts: list[str], labels: list[float]) -> Model:
+    """As ``fit``, from texts already taken apart.
+
+    A sentence's logit is the sum of its words' weights, each the sum over the
+    word's parts, and of its pairs' weights; words are summed once for each
+    distinct word, so a step costs one pass over words and frequent pairs.
+    """
+    words = Words()
+    number_, sent_, bag_ = array("i"), array("i"), array("i")
+    for b, text in enumerate(spread_texts):
+        for line in text.split("\n") if text else ():
+            found = line.split(" ")
+            number_.extend([words(w) for w in found])
+            sent_.extend([len(bag_)] * len(found))
+            bag_.append(b)
+    number, sent, bag = (np.frombuffer(x, np.int32).astype(np.int64) for x in (number_, sent_, bag_)) if len(bag_) else (np.zeros(0, np.int64),) * 3
+    n, docs = len(bag), len(spread_texts)
     if not n:
         return Model(np.zeros(SPACE, np.float32), -5.0)
-    bag = np.concatenate(bags)
+    part_word = np.repeat(np.arange(len(words.parts)), [len(p) for p in words.parts])
+    part = np.array([f for p in words.parts for f in p], np.int64)
+    h = np.array(words.hash, np.int64)[number]
+    both = [pairs(h, sent, gap) for gap in GAPS]
+    pair, pair_sent = np.concatenate([f for f, _ in both]), np.concatenate([s for _, s in both])
     # Rare features say nothing; the rest are renumbered.
+    seen = np.zeros(SPACE, np.int64)
+    in_doc = np.unique(number * docs + bag[sent])
+    doc_word, start = in_doc // docs, np.concatenate(([0], np.cumsum(np.bincount(part_word, minlength=len(words.parts)))))
+    many = np.diff(start)[doc_word]
+    at = np.repeat(start[doc_word] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+    for f in (np.unique(part[at] * docs + np.repeat(in_doc % docs, many)) // docs, np.unique(pair * docs + bag[pair_sent]) // docs):
+        seen += np.bincount(f, minlength=SPACE)
     kept = np.flatnonzero(seen >= LEAST_SEEN)
-    place = np.full(SPACE, -1, np.int32)
+    place = np.full(SPACE, -1, np.int64)
     place[kept] = np.arange(len(kept))
-    for k, f in enumerate(features):
-        f = place[f]
-        features[k], owners[k] = f[f >= 0], owners[k][f >= 0]
-    feature, owner = np.concatenate(features), np.concatenate(owners)
-    del features, owners
-    cuts = [(k, k + FEATURES_AT_ONCE) for k in range(0, len(feature), FEATURES_AT_ONCE)]
-    target = np.asarray(labels, float)
+    use = place[part] >= 0
+    part, part_word = place[part][use], part_word[use]
+    use = place[pair] >= 0
+    pair, pair_sent = place[pair][use], pair_sent[use]
+    vocabulary, size = len(words.parts), len(kept)
+    target, ridge = np.asarray(labels, float), RIDGE / docs**0.5
     rare = max(target.mean(), 1e-3)
-    weight, bias = np.zeros(len(kept)), float(np.log(rare / (max(n / len(texts), 1) - rare + 1e-9)) if n > len(texts) else -1.0)
-    m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
-    docs = len(texts)
+    weight, bias = np.zeros(size), float(np.log(rare / (max(n / docs, 1) - rare + 1e-9)) if n > docs else -1.0)
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        logit = np.full(n, bias)
-        for i, j in cuts:
-            logit += np.bincount(owner[i:j], weight[feature[i:j]], n)
-        logit = np.clip(logit, -30, 30)
+        of_word = np.bincount(part_word, weight[part], vocabulary)
+        logit = np.clip(bias + np.bincount(sent, of_word[number], n) + np.bincount(pair_sent, weight[pair], n), -30, 30)
         p = 1 / (1 + np.exp(-logit))
         stay = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), docs)  # log of P(no sentence is abusive)
         none = np.exp(stay)
         case = np.maximum(1 - none, 1e-9)
         # d loss / d logit of a sentence: p for the clean share of the label, -p * none / case for the abusive share
         slope = p * ((1 - target) - target * none / case)[bag] / docs
-        grad = RIDGE * weight
-        for i, j in cuts:
-            grad += np.bincount(feature[i:j], slope[owner[i:j]], len(kept))
+        to_word = np.bincount(number, slope[sent], vocabulary)
+        grad = ridge * weight + np.bincount(part, to_word[part_word], size) + np.bincount(pair, slope[pair_sent], size)
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -233,8 +241,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     verdicts = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(F.col(label).cast("double")).alias("y"))
     chosen = verdicts.orderBy(F.xxhash64("k"), "k").limit(most)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k").dropDuplicates(["k"]).orderBy("k").toPandas()
-    return fit(rows["t"].tolist(), rows["y"].tolist())
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"k": frame["k"], "y": frame["y"], "words": spread(frame["t"].tolist())})
+
+    kind = docs.schema[key].dataType.simpleString()
+    taken = rows.mapInPandas(run, f"k {kind}, y double, words string").toPandas().drop_duplicates("k").sort_values("k")
+    return fit_words(taken["words"].tolist(), taken["y"].tolist())
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,7 +274,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 s, worst = judge(known, part["t"].tolist(), words)
                 yield pd.DataFrame({"k": part["k"], "score": s, "worst_sentence": worst})
 
-    once = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
+    once = once_per_key(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k")
     return once.mapInPandas(run, f"k {kind}, score double, worst_sentence string").withColumnRenamed("k", key)
 
 

@@ -133,6 +133,8 @@ def parse(text: str, series: bool) -> Name:
             continue
         tokens.append(folded)
         short.append(dotted)
+    if series and found and not tokens:  # a title that is a number
+        return parse(text, False)
     return Name(number, tokens, short)
 
 

@@ -33,6 +33,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variant_pairs(typed_names(spark, folder), frozenset(("title",)))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.classes(typed_names(spark, folder), frozenset(("title",)))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return formatting.repeats(table(spark, folder, "edition_key"))
 
@@ -65,6 +69,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.cases(table(spark, folder, "documents"), table(spark, folder, "content_label"))
 
 
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return abuse.scores(docs, abuse.train(docs, table(spark, folder, "content_label")))
+
+
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.source_rates(table(spark, folder, "documents"), table(spark, folder, "content_label"))
 
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_ties": p1_ties,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p5_found": p5_found,
@@ -82,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
+    "p8_scores": p8_scores,
     "p8_rates": p8_rates,
 }
 

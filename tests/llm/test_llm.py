@@ -28,13 +28,13 @@ def test_p1_ties(spark):
 def test_p1_one_shared_sequence_is_enough(spark):
     works = spark.createDataFrame([(287, "Dadduztidzop III", 1988, "game"), (288, "Dekwebpukrat II", 1988, "game"), (289, "Zopvernpish", 1988, "game")], WORKS)
     pages = spark.createDataFrame([(476, "Daddutzidzop 3", 1988, None, None, 0.81), (477, "Dekwevpujrat Two", 1988, None, None, 0.81)], PAGES)
-    assert {tuple(r) for r in linkage.candidates(works, pages).collect()} == {(287, 476), (288, 477)}
+    assert {(r.work, r.page) for r in linkage.scored(works, pages).collect()} == {(287, 476), (288, 477)}
 
 
 def test_p1_common_sequences_make_candidates(spark):
     works = spark.createDataFrame([(k, "Dadutsidzop", 1988, "game") for k in range(1, 61)], WORKS)
     pages = spark.createDataFrame([(1, "Dadutsipzob", 1988, None, None, 0.81)], PAGES)
-    assert {tuple(r) for r in linkage.candidates(works, pages).collect()} == {(k, 1) for k in range(1, 61)}
+    assert {(r.work, r.page) for r in linkage.scored(works, pages).collect()} == {(k, 1) for k in range(1, 61)}
 
 
 def test_p1_names_without_vowels_are_compared(spark):
@@ -84,12 +84,32 @@ def test_p2_empty(spark):
     assert [(r.uid, r.dat_id) for r in canonical.map_names(typed, entries.limit(0)).collect()] == [("a", 0)] and canonical.map_names(typed.limit(0), entries).isEmpty()
 
 
-def test_p2_list_in_parts_gives_the_same(spark, monkeypatch):
+def test_p2_shuffled_list_gives_the_same(spark):
     typed = spark.createDataFrame([(str(k), n.split(" (")[0]) for k, n in LIST], "uid string, name string")
     entries = spark.createDataFrame(LIST, "dat_id long, name string")
     whole = sorted(map(tuple, canonical.map_names(typed, entries).collect()))
-    monkeypatch.setattr(canonical, "PART", 4)
-    assert sorted(map(tuple, canonical.map_names(typed, entries).collect())) == whole
+    assert sorted(map(tuple, canonical.map_names(typed, entries, broadcast_rows=0).collect())) == whole
+
+
+def test_p2_cosines_against_all_pairs(spark):
+    import math
+
+    texts = ["zak", "silentharbour", "silenthabrour", "goldenorbit", "x", "orbit"]
+    reference = canonical.ReferenceList(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "dat_id long, name string"), "dat_id", "name", 0)
+    keys = {r.title: "".join(r.core.split()) for r in reference.titles.collect()}
+    queries = {1: "zac", 2: "silentharbor", 3: "orbitgold"}
+    found = {(r["query"], keys[r["title"]]): r["cosine"] for r in reference.cosines(spark.createDataFrame([(k, canonical.grams(q)) for k, q in queries.items()], "query long, grams array<long>")).collect()}
+    own = {t: set(canonical.grams(t)) for t in keys.values()}
+    weight = lambda g: math.log(1 + len(own) / max(1, sum(g in x for x in own.values()))) ** 2
+    norm = lambda x: math.sqrt(sum(map(weight, x)))
+    expected = {(k, t): sum(map(weight, set(canonical.grams(q)) & x)) / norm(canonical.grams(q)) / norm(x) for k, q in queries.items() for t, x in own.items() if set(canonical.grams(q)) & x}
+    assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
+
+
+def test_p2_short_titles_and_all_languages(spark):
+    entries = spark.createDataFrame([(1, "Zak (1990)(P)"), (2, "Koltkixzarn Jal (1992)(Other)(NL)"), (3, "Koltkixzarn Jal (1992)(Other)(PL)"), (4, "X (1990)(P)")], "dat_id long, name string")
+    typed = spark.createDataFrame([("a", "Zak.adf"), ("b", "Koltkixzarn Jal (PL).adf"), ("c", "koltkixzarn_jal_dutch.adf"), ("d", "x.adf")], "uid string, name string")
+    assert {r.uid: r.dat_id for r in canonical.map_names(typed, entries).collect()} == {"a": 1, "b": 3, "c": 2, "d": 4}
 
 
 # 3: variants
@@ -115,6 +135,17 @@ def test_p3_spellings_of_common_ends_meet(spark):
     assert ("Mindravekosped", "Mindrawejosped") in found
 
 
+def test_p3_hot_blocks_are_dealt_alike(spark):
+    strings = spark.createDataFrame([("title", f"Mindra{a}{b}osped") for a in "bcdfg" for b in "aeiou"], "field string, name string")
+    got = lambda hot: sorted(map(tuple, variants.links(strings, frozenset(), hot=hot).collect()))
+    assert got(4) == got(2_000) and got(4)
+
+
+def test_numbers_of_a_series():
+    number = lambda s: names.parse(s, True).number
+    assert [number(s) for s in ("Orbit II", "Orbit Two", "Orbit: Seven Keys", "Orbit Seven Keys", "Orbit 3: Seven Doors", "Orbit IV - Night of Embers", "Orbit: Night of Embers", "Orbit Thre", "Orbit part five: A New Dawn", "Orbit")] == [2, 2, 1, 1, 3, 4, 1, 3, 5, 1]
+
+
 def test_p3_nulls_repeats_empty(spark):
     rows = spark.createDataFrame([("Abcdefgh Ij", None), ("Abcdefgh Ij", "q"), (None, "q"), ("Abcdefghh Ij", None)], "p string, q string")
     strings = variants.distinct_strings(rows, {"publisher": "p", "other": "q"})
@@ -179,6 +210,26 @@ def test_p5_latest_and_primary(spark):
     assert survivor.edition_primaries(df.limit(0)).isEmpty()
 
 
+def test_p5_consensus_votes_by_token(spark):
+    from diskloom.llm import consensus
+
+    rows = [("a", "Neon Arena of Taz", 1), ("a", "Neon Arnea of Taz v1", 1), ("a", "Neon Arena of Tza", 1), ("a", "The Neon Arena of Taz", 1), ("b", "alone", 1), ("c", None, 1), (None, "x", 1), ("d", "", 1), ("d", "", 1), ("d", "z", 1), ("e", "old old", 1), ("e", "new", 3)]
+    df = spark.createDataFrame(rows, "g string, v string, n int").withColumns({"field": F.lit("clash"), "value": F.lit(0), "w": F.lit(1)})
+    assert {r.g: r.value for r in consensus.consensus(df, "g", ("v",), F.col("n")).collect()} == {"a": "Neon Arena of Taz", "b": "alone", "d": "", "e": "new"}
+    assert consensus.consensus(df.limit(0), "g", ("v",), F.col("n")).isEmpty()
+
+
+def test_p5_consensus_by_arrival_is_the_latest_value(spark):
+    from diskloom.llm import consensus
+
+    rng = random.Random(1)
+    rows = sorted((g, k, " ".join(rng.choice(["Foo", "Foe", "Bar", "+3", "DC"]) for _ in range(rng.randint(0, 4)))) for g in range(30) for k in range(rng.randint(1, 20)))
+    df, late = spark.createDataFrame(rows, "g long, k long, v string"), {g: v for g, _, v in rows}
+    for piece in (500, 3):
+        assert {r.g: r.value for r in consensus.consensus(df, "g", ("v",), F.col("k") + 1, latest=True, piece=piece).collect()} == late
+    assert len(late) == consensus.consensus(df, "g", ("v",), F.lit(1), piece=2).count()
+
+
 # 6: tokens
 
 
@@ -290,4 +341,5 @@ def test_p8_tables(spark):
     assert len(found ^ truth) <= 6 and not {1000, 1001, 1002} & found
     rates = {r.source: r for r in abuse.source_rates(docs, labels).collect()}
     assert rates["b"].documents == 3 and rates["b"].abusive == 0 and sum(r.abusive for r in rates.values()) == len(found)
+    assert {r.doc_id for r in abuse.scores(docs, abuse.train(docs, labels)).where("worst_sentence IS NULL").collect()} == {1000, 1001}
     assert abuse.cases(docs, labels.limit(0)).isEmpty() and abuse.cases(docs.limit(0), labels).isEmpty()
