@@ -67,8 +67,11 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
+_VOWELS = str.maketrans("", "", "aeiou")
+
+
 def consonants(word: str) -> str:
-    return re.sub("[aeiou]", "", word)
+    return word.translate(_VOWELS)
 
 
 @dataclass
@@ -269,10 +272,12 @@ def core_ratio(a: list[str], b: list[str]) -> float:
                     else:
                         b[j] = t
                     break
-    x, y = ordered(a, b), ordered(b, a)
-    best = max(ratio(x, "".join(b)), ratio("".join(a), y))
-    cx, cy = consonants(x), consonants("".join(b))
-    if min(len(cx), len(cy)) >= 4 and (cx == x or cy == "".join(b)):
+    x, y, plain_a, plain_b = ordered(a, b), ordered(b, a), "".join(a), "".join(b)
+    best = ratio(x, plain_b)
+    if x != plain_a or y != plain_b:
+        best = max(best, ratio(plain_a, y))
+    cx, cy = consonants(x), consonants(plain_b)
+    if min(len(cx), len(cy)) >= 4 and (cx == x or cy == plain_b):
         best = max(best, ratio(cx, cy))
     return best
 
