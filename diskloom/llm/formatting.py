@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import HOT_ROWS, join_counted
+from ..session import durable
 
 FIELDS = ("title", "publisher", "version", "language", "qualifier", "disk_no", "disk_count")
 #: Fields whose neighbouring numbers stay apart.
@@ -49,14 +50,14 @@ def copies(rows: DataFrame, key: str = "key_id", fields: tuple[str, ...] = FIELD
     value = {f: F.col(f).cast("string") for f in fields}
     if record:
         value = {f: F.when(F.col(record).isNotNull(), record_field(F.col(record), f)).otherwise(v) for f, v in value.items()}
-    cells = (
+    cells = durable(
         rows.where(F.col(key).isNotNull())
         .select(F.col(key).alias("k"), F.explode(F.array(*(F.struct(F.lit(n).alias("f"), F.lit(f in NUMBERED).alias("num"), value[f].alias("raw")) for n, f in enumerate(fields, 1)))).alias("c"))
         .select("k", "c.*")
         .where(F.col("raw").isNotNull())
     )
     raws = cells.groupBy("num", "raw").agg(F.count("*").alias("n"))
-    raws = raws.withColumn("canon", F.when(F.col("num"), canonical_numbered(F.col("raw"))).otherwise(canonical_text(F.col("raw")))).where(F.col("canon").isNotNull())
+    raws = durable(raws.withColumn("canon", F.when(F.col("num"), canonical_numbered(F.col("raw"))).otherwise(canonical_text(F.col("raw")))).where(F.col("canon").isNotNull()))
     canons = raws.groupBy("num", "canon").agg(F.count("*").alias("spellings")).withColumn("bucket", F.pmod(F.xxhash64("num", "canon"), F.lit(BUCKETS)))
     ids = canons.select(
         "num", "canon", "spellings",
@@ -65,7 +66,7 @@ def copies(rows: DataFrame, key: str = "key_id", fields: tuple[str, ...] = FIELD
     dictionary = join_counted(raws, ids, ["num", "canon"], "spellings", hot_rows).select("num", "raw", "n", "id")
     coded = join_counted(cells, dictionary, ["num", "raw"], "n", hot_rows).select("k", (F.shiftleft(F.col("f").cast("long"), 56) + F.col("id")).alias("code"))
     every = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(0).cast("long").alias("code"))  # keeps rows without any field
-    tuples = coded.unionByName(every).groupBy("k").agg(F.array_sort(F.collect_set("code")).alias("tuple"))
+    tuples = durable(coded.unionByName(every).groupBy("k").agg(F.array_sort(F.collect_set("code")).alias("tuple")))
     groups = tuples.groupBy("tuple").agg(F.min("k").alias("first_id"), F.count("*").alias("copies")).withColumn("n", F.col("copies"))
     return join_counted(tuples, groups, ["tuple"], "n", hot_rows).select(F.col("k").alias(key), "first_id", "copies")
 
