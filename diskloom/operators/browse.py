@@ -71,6 +71,40 @@ def missing_titles(title: DataFrame, edition: DataFrame) -> DataFrame:
     return title.join(edition.select(F.col("title_id").alias("id")), "id", "left_anti")
 
 
+def without_empties(catalog: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``catalog`` without editions that have no artifact, titles that then have no edition, and metadata and images of titles that are gone."""
+    out = dict(catalog)
+    out["edition"] = catalog["edition"].join(catalog["artifact"].where(F.col("edition_id").isNotNull()).select(F.col("edition_id").alias("id")), "id", "left_semi")
+    out["title"] = catalog["title"].join(out["edition"].select(F.col("title_id").alias("id")), "id", "left_semi")
+    for name in ("title_meta", "title_screenshot"):
+        if name in catalog:
+            out[name] = catalog[name].join(out["title"].select(F.col("id").alias("title_id")), "title_id", "left_semi")
+    return out
+
+
+def json_view(rows: DataFrame, name: str, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` as JSON texts, nulls kept: one object per row, or, with ``by``, one ``{name: [...]}`` per group in ``order``."""
+    options = {"ignoreNullFields": "false"}
+    if not by:
+        return rows.select(F.to_json(F.struct(*rows.columns), options).alias("json"))
+    fields = [c for c in rows.columns if c not in by]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("r")))), lambda x: x["r"])
+    return rows.groupBy(*by).agg(F.to_json(F.struct(listed.alias(name)), options).alias("json"))
+
+
+def download(variants: DataFrame, blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``uid``, ``canonical``, ``content`` of the wanted uids: each once, under its canonical name, bytes unchanged."""
+    one = lookup(variants, wanted).select("uid", "canonical", "blob_sha1").dropDuplicates(["uid"])
+    return one.join(blobs.select(F.col("sha1").alias("blob_sha1"), "content"), "blob_sha1").select("uid", "canonical", "content")
+
+
+def html_escaped(text: Column) -> Column:
+    """Text with &, <, > and the double quote written out; null gives the empty text."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(F.coalesce(text, F.lit("")), F.lit(a), F.lit(b))
+    return text
+
+
 def admissible(filename: Column) -> Column:
     return F.coalesce(filename.rlike(r"(?i)\.(adf|adz|dms|zip)\z"), F.lit(False))
 

@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import flags
 from ..functions import similarity as sim
+from ..session import durable
+from ..sources.pages import scan_pages
 
 #: Most screenshots kept per title.
 MOST_SHOTS = 6
 
 
 class Provider(Protocol):
-    """A metadata source: its results for titles, with a priority."""
+    """A metadata source: results for titles (``title_id``, ``name``), with ``priority``, ``result_id``, ``source`` and the columns that ``merge`` reads."""
 
     name: str
 
-    def results(self, titles: DataFrame, pages: DataFrame) -> DataFrame: ...
+    def results(self, titles: DataFrame) -> DataFrame: ...
+
+
+class TableProvider:
+    """Results that lie in a table under the page titles of their sources."""
+
+    def __init__(self, name: str, rows: DataFrame):
+        self.name, self.rows = name, rows
+
+    def results(self, titles: DataFrame) -> DataFrame:
+        """Each source's results on the page that a title leads to: the page of its own slug, else the best fuzzy match, if any."""
+        rows = self.rows.distinct().withColumn("slug", sim.slug(F.col("page_title")))
+        links = rows.where(F.col("page_title").isNotNull()).select("source", F.col("page_title").alias("label"), "slug").distinct()
+        hits = pages_for(titles, links, ("source",)).drop("exact")
+        return hits.alias("h").join(rows.alias("r"), F.col("h.source").eqNullSafe(F.col("r.source")) & (F.col("h.slug") == F.col("r.slug"))).select("h.title_id", "r.*")
+
+
+class PageProvider:
+    """A site whose pages lie in a table (``url``, ``label``, ``html``): they are found by name and scanned; a page that isn't there has no result."""
+
+    def __init__(self, name: str, priority: int, rows: DataFrame):
+        self.name, self.priority, self.rows = name, priority, rows
+
+    def results(self, titles: DataFrame) -> DataFrame:
+        links = self.rows.select("label", sim.slug(F.col("label")).alias("slug")).distinct()
+        hits = pages_for(titles, links).drop("exact").join(titles.select("title_id", "name"), "title_id")
+        found = hits.join(self.rows.select("url", "html", sim.slug(F.col("label")).alias("slug")), "slug").where(F.col("html").isNotNull())
+        read = scan_pages(found.select("url", "html").distinct())
+        picture = lambda h: F.struct(h.alias("url"), F.lit(None).cast("string").alias("caption"), F.lit(self.name).alias("source"))
+        return found.drop("html").join(read, "url").select(
+            "title_id", F.lit(self.priority).alias("priority"), F.xxhash64("url").alias("result_id"), F.lit(self.name).alias("source"), F.col("url").alias("external_url"), "description", "genre", F.lit(None).cast("int").alias("year"),
+            F.when(F.col("cover").isNotNull(), picture(F.col("cover"))).alias("cover"), F.transform("shots", picture).alias("shots"), sim.similarity(F.col("name"), F.col("title")).alias("score"),
+        )
 
 
 def targets(title: DataFrame, edition: DataFrame, artifact: DataFrame, fetched: DataFrame | None = None, only: int | None = None) -> DataFrame:
@@ -36,27 +72,32 @@ def by_slug(titles: DataFrame, pages: DataFrame) -> DataFrame:
     return titles.withColumn("slug", sim.slug(F.col("name"))).join(pages, "slug")
 
 
-def fuzzy_matches(titles: DataFrame, links: DataFrame) -> DataFrame:
-    """Best link (``label``, ``slug``) of each title (``title_id``, ``name``) within its index letter, from the floor on; ties fall to the least slug.
+def fuzzy_matches(titles: DataFrame, links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Best link (``label``, ``slug``) of each title (``title_id``, ``name``) within its index letter, from the floor on; ties fall to the least slug. With ``by``, columns of links, the best for each of their values.
 
     A similarity of at least the floor needs a shared word or equal run-together
     forms, so candidates are equi-joined on those; no pair that could be accepted
     is left out.
     """
+    scored = similar_pairs(titles, links.select("label", "slug", *by), "label").where(F.col("score") >= F.lit(sim.FLOOR).cast("float"))
+    return scored.groupBy("title_id", *by).agg(F.min_by(F.struct("slug", "label", "score"), F.struct(-F.col("score"), F.col("slug"))).alias("_b")).select("title_id", *by, "_b.*")
+
+
+def similar_pairs(titles: DataFrame, links: DataFrame, label: str, same_letter: bool = True) -> DataFrame:
+    """Titles and links that share a word or their run-together form (and their index letter), with ``score``; all others are below the floor."""
     def keyed(df: DataFrame, name: str) -> DataFrame:
         w = sim.words(F.col(name))
-        return df.withColumns({"_letter": sim.index_letter(F.col(name)), "_key": F.explode(F.array_distinct(F.concat(w, F.array(F.concat(F.lit("="), F.array_join(w, ""))))))})
+        return df.withColumns({"_letter": sim.index_letter(F.col(name)) if same_letter else F.lit(""), "_key": F.explode(F.array_distinct(F.concat(w, F.array(F.concat(F.lit("="), F.array_join(w, ""))))))})
 
-    pairs = keyed(titles, "name").select("title_id", "name", "_letter", "_key").join(keyed(links, "label").select("label", "slug", "_letter", "_key"), ["_letter", "_key"]).select("title_id", "name", "label", "slug").distinct()
-    scored = pairs.withColumn("score", sim.similarity(F.col("name"), F.col("label"))).where(F.col("score") >= F.lit(sim.FLOOR).cast("float"))
-    return scored.groupBy("title_id").agg(F.min_by(F.struct("slug", "label", "score"), F.struct(-F.col("score"), F.col("slug"))).alias("_b")).select("title_id", "_b.*")
+    pairs = keyed(titles.select("title_id", "name"), "name").join(keyed(links, label), ["_letter", "_key"]).drop("_letter", "_key").distinct()
+    return pairs.withColumn("score", sim.similarity(F.col("name"), F.col(label)))
 
 
-def pages_for(titles: DataFrame, links: DataFrame) -> DataFrame:
-    """``title_id``, ``slug``, ``exact`` of the page each title leads to: the page of its own slug, else the best fuzzy match; titles without either are left out."""
-    exact = by_slug(titles.select("title_id", "name"), links.select("slug").distinct()).select("title_id", "slug").withColumn("exact", F.lit(True))
-    rest = titles.join(exact.select("title_id"), "title_id", "left_anti")
-    return exact.unionByName(fuzzy_matches(rest, links).select("title_id", "slug").withColumn("exact", F.lit(False)))
+def pages_for(titles: DataFrame, links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``title_id``, ``slug``, ``exact`` of the page each title leads to: the page of its own slug, else the best fuzzy match; titles without either are left out. With ``by``, columns of links, a page for each of their values."""
+    exact = by_slug(titles.select("title_id", "name"), links.select("slug", *by).distinct()).select("title_id", "slug", *by).withColumn("exact", F.lit(True))
+    fuzzy = fuzzy_matches(titles, links, by).select("title_id", "slug", *by).withColumn("exact", F.lit(False))
+    return exact.unionByName(fuzzy.join(exact.select("title_id", *by).distinct(), ["title_id", *by], "left_anti"))
 
 
 def merge(results: DataFrame) -> DataFrame:
@@ -75,10 +116,11 @@ def merge(results: DataFrame) -> DataFrame:
     return base.join(sources, "title_id").join(shots, "title_id", "left").withColumn("shots", F.coalesce("shots", F.slice(F.array("cover"), 1, 0)))
 
 
-def wanted_images(merged: DataFrame) -> DataFrame:
-    """``title_id``, ``kind``, ``ord``, ``url`` of a merged record's images: the cover and the first screenshots."""
-    cover = merged.where(F.col("cover").isNotNull()).select("title_id", F.lit("cover").alias("kind"), F.lit(0).alias("ord"), F.col("cover.url").alias("url"))
-    shots = merged.select("title_id", F.posexplode(F.slice("shots", 1, MOST_SHOTS)).alias("ord", "s")).select("title_id", F.lit("screenshot").alias("kind"), "ord", F.col("s.url").alias("url"))
+def wanted_images(merged: DataFrame, details: bool = False) -> DataFrame:
+    """``title_id``, ``kind``, ``ord``, ``url`` (with ``details`` caption and source too) of a merged record's images: the cover and the first screenshots."""
+    fields = ("url", "caption", "source") if details else ("url",)
+    cover = merged.where(F.col("cover").isNotNull()).select("title_id", F.lit("cover").alias("kind"), F.lit(0).alias("ord"), *(F.col(f"cover.{c}").alias(c) for c in fields))
+    shots = merged.select("title_id", F.posexplode(F.slice("shots", 1, MOST_SHOTS)).alias("ord", "s")).select("title_id", F.lit("screenshot").alias("kind"), "ord", *(F.col(f"s.{c}").alias(c) for c in fields))
     return cover.unionByName(shots)
 
 
@@ -97,6 +139,26 @@ def replace_images(existing: DataFrame, fresh: DataFrame, merged: DataFrame) ->
     return kept.unionByName(fresh.withColumn("k", kind).join(replaced, ["title_id", "k"], "left_semi").drop("k"))
 
 
+def run(titles: DataFrame, providers: list[Provider], images: DataFrame, meta: DataFrame, screenshots: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An enrichment of ``titles`` (``title_id``, ``name``): (metadata, screenshots, report) after it.
+
+    Results of all providers are merged by priority; a title with none above the
+    floor is skipped. ``images`` (``url``, ``content``, ``header``) are what could
+    be fetched; a null content failed. ``now`` is the time of the run in unix
+    seconds. The report has ``total``, ``enriched`` and ``skipped``.
+    """
+    results = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.results(titles) for p in providers))
+    merged = durable(merge(results))
+    wanted = wanted_images(merged, details=True)
+    blob = images.where(F.col("content").isNotNull()).select("url", F.sha1("content").alias("blob_sha1"), flags.image_type(F.col("content"), F.col("header")).alias("mime")).dropDuplicates(["url"])
+    fresh = wanted.join(blob, "url").select("title_id", "blob_sha1", "mime", "caption", "source", F.col("ord").cast("long").alias("ord"), "kind")
+    expected = merged.select("title_id", F.col("cover").isNotNull().alias("has_cover"), (F.size("shots") > 0).alias("has_shots"))
+    rows = merged.select("title_id", "genre", "description", "year", "sources", "external_url", F.col("score").cast("double").alias("match_score"), F.lit(now).cast("long").alias("fetched_at"))
+    done = titles.select("title_id").distinct().join(rows.select("title_id", F.lit(True).alias("_hit")), "title_id", "left")
+    report = done.agg(F.count("*").alias("total"), F.count_if("_hit").alias("enriched"), F.count_if(F.col("_hit").isNull()).alias("skipped"))
+    return save_meta(meta, rows), replace_images(screenshots, fresh, expected), report
+
+
 def save_meta(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """Metadata rows by title, fresh ones instead of old ones."""
     return existing.join(fresh.select("title_id"), "title_id", "left_anti").unionByName(fresh)

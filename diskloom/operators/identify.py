@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags, identity, naming
+from ..session import small
 
 HASHES = ("sha1", "md5", "crc32")
 INFO = ("dump_type", "crack_group", "trainer", "bad", "virus", "over", "under", "alt_index", "modifications", "verified_good", "lineage")
@@ -13,9 +14,19 @@ NAMED = ("title", "version", "language", "publisher", "year", "disk_no", "disk_c
 
 
 def first_of_each(images: DataFrame) -> DataFrame:
-    """One row per content (sha1): the first to arrive keeps its name; later ones are duplicates whatever they are called."""
+    """One row per content (sha1): the first to arrive keeps its name; later ones are duplicates whatever they are called.
+
+    Only contents are shuffled to find those that came more than once; rows of
+    all others stay where they are. Of one content under several names in one
+    upload the first name by code point counts.
+    """
     rest = [c for c in images.columns if c not in ("sha1", "ingest_seq")]
-    return images.groupBy("sha1").agg(F.min_by(F.struct(*rest), "ingest_seq").alias("_r"), F.min("ingest_seq").alias("ingest_seq")).select("sha1", "ingest_seq", "_r.*")
+    repeated = images.groupBy("sha1").agg(F.count("*").alias("_n")).where("_n > 1").select("sha1")
+    if repeated.isEmpty():
+        return images.select("sha1", "ingest_seq", *rest)
+    repeated = small(repeated)
+    first = images.join(repeated, "sha1", "left_semi").groupBy("sha1").agg(F.min_by(F.struct("ingest_seq", *rest), F.struct("ingest_seq", "filename")).alias("_r")).select("sha1", "_r.*")
+    return images.join(repeated, "sha1", "left_anti").select("sha1", "ingest_seq", *rest).unionByName(first)
 
 
 def new_contents(images: DataFrame, stored: DataFrame) -> DataFrame:
@@ -44,14 +55,15 @@ def hash_match(items: DataFrame, entries: DataFrame, key: str = "uid", strict: b
     return per_hit.join(lacking, "dat_id").join(own, key).groupBy(key).agg(F.min_by("dat_id", order).alias("dat_id"))
 
 
-def identified(images: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+def identified(images: DataFrame, entries: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """Images (``sha1``, ``md5``, ``crc32``, ``filename``, ``ingest_seq``, ...) with identity, dump info, category, ``verified`` and ``tosec_name``.
 
     A hash match takes the list's name (its own fields if that doesn't parse),
     else the file name is parsed, else the title stays null (quarantine).
+    ``images`` are read several times: write them down before, without content.
+    ``stored`` (``sha1``, ``uid``) are the ids already given.
     """
-    uids = identity.assign_uids(images)
-    rows = images.join(uids, "sha1")
+    rows = identity.assign_uids(images, stored=stored)
     parsed = naming.parse_name(F.col("filename"))
     if entries is None:
         rows = naming.expand(rows, parsed).withColumns({"verified": F.lit(False), "tosec_name": F.when(F.col("title").isNotNull(), F.col("filename")), "_source": F.lit(None).cast("string")})

@@ -8,35 +8,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..session import durable
 from .sets import EDITION, same_set
 
 KEY = ("title_id", "version", "language", "publisher", "qualifier", "disk_no", "disk_count")
 
 
-def _null_safe(a: str, b: str, keys: tuple[str, ...]) -> Column:
+def null_safe(a: str, b: str, keys: tuple[str, ...]) -> Column:
     return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
 
 
 def with_new_ids(rows: DataFrame, order: str, start: int, key: str = "id") -> DataFrame:
-    """Dense ids after ``start`` in order of ``order`` (unique): counted per range partition, then shifted by the partitions' totals."""
-    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    """Dense ids after ``start`` in order of ``order`` (unique): counted per range partition, then shifted by the partitions' totals.
+
+    The ranged rows are written down once, so both passes see the same partitions.
+    """
+    ranged = durable(rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     # The totals table has one row per partition.
     return ranged.join(F.broadcast(before), "_p").withColumn(key, F.lit(start) + F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(order))).drop("_p", "_before")
 
 
-def upsert_titles(title: DataFrame, wanted: DataFrame, start: int) -> DataFrame:
-    """``title`` with the missing (name, category) of ``wanted`` (with ``seq``) appended in order of arrival; ids follow ``start``."""
+def new_titles(title: DataFrame, wanted: DataFrame, start: int) -> DataFrame:
+    """The (name, category) of ``wanted`` (with ``seq``) that ``title`` lacks, in order of arrival; ids follow ``start``."""
     fresh = wanted.groupBy("name", "category").agg(F.min("seq").alias("seq")).join(title.select("name", "category"), ["name", "category"], "left_anti")
-    return title.unionByName(with_new_ids(fresh, "seq", start).select("id", "name", "category"))
+    return with_new_ids(fresh.withColumn("_o", F.struct("seq", "name", "category")), "_o", start).select("id", "name", "category")
+
+
+def new_editions(edition: DataFrame, wanted: DataFrame, start: int) -> DataFrame:
+    """The keys of ``wanted`` (with ``seq``) that ``edition`` lacks, in order of arrival; keys compare null-safe."""
+    fresh = wanted.groupBy(*KEY).agg(F.min("seq").alias("seq")).alias("w").join(edition.select(*KEY).alias("e"), null_safe("w", "e", KEY), "left_anti")
+    made = with_new_ids(fresh.withColumn("_o", F.struct("seq", *KEY)), "_o", start)
+    return made.select("id", *KEY, F.lit(None).cast("string").alias("primary_artifact_uid"))
+
+
+def upsert_titles(title: DataFrame, wanted: DataFrame, start: int) -> DataFrame:
+    return title.unionByName(new_titles(title, wanted, start))
 
 
 def upsert_editions(edition: DataFrame, wanted: DataFrame, start: int) -> DataFrame:
-    """``edition`` with the missing keys of ``wanted`` (with ``seq``) appended; keys compare null-safe."""
-    fresh = wanted.groupBy(*KEY).agg(F.min("seq").alias("seq")).alias("w").join(edition.alias("e"), _null_safe("w", "e", KEY), "left_anti")
-    made = with_new_ids(fresh, "seq", start).withColumn("primary_artifact_uid", F.lit(None).cast("string"))
-    return edition.unionByName(made.select("id", *KEY, "primary_artifact_uid"))
+    return edition.unionByName(new_editions(edition, wanted, start))
+
+
+def import_entries(entries: DataFrame, fresh: DataFrame, order: str = "position") -> DataFrame:
+    """``fresh`` list entries numbered after the ones there in list order, to append: nothing is dropped as a repeat. Batches ingested before aren't touched."""
+    last = entries.agg(F.max("dat_id")).first()[0] or 0
+    made = with_new_ids(fresh.withColumn("_o", F.struct("source", F.col(order), "name", "sha1", "md5", "crc32")), "_o", last, "dat_id")
+    return made.select(*(c for c in entries.columns))
 
 
 def resolve(quarantine: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +95,7 @@ def reidentify_report(artifacts: DataFrame) -> DataFrame:
 
     def gone(keys: tuple[str, ...], name: str) -> DataFrame:
         old, new = artifacts.select(*keys).distinct(), after.select(*keys).distinct()
-        return old.alias("o").join(new.alias("n"), _null_safe("o", "n", keys), "left_anti").agg(F.count("*").alias(name))
+        return old.alias("o").join(new.alias("n"), null_safe("o", "n", keys), "left_anti").agg(F.count("*").alias(name))
 
     one = lambda df: df.withColumn("_one", F.lit(1))
     return one(counts).join(one(gone(EDITION, "editions_removed")), "_one").join(one(gone(("title", "category"), "titles_removed")), "_one").drop("_one")

@@ -11,8 +11,6 @@ SET = ("title", "category", "version", "language", "publisher", "qualifier", "di
 EDITION = (*SET, "disk_no")
 #: Order of releases: the four leading keys, then the rest as they were grouped.
 RELEASES = ("title", "category", "qualifier", "disk_count", "version", "language", "publisher")
-#: Missing disks are listed for counts up to this; larger declared counts are hostile and give null.
-MOST_DISKS = 1000
 
 
 def sound() -> Column:
@@ -93,9 +91,17 @@ def resolved_sets(artifacts: DataFrame) -> DataFrame:
 
 
 def missing_disks(coverage: DataFrame) -> DataFrame:
-    """``missing``: disks 1..needed that a lineage lacks; null where the count is beyond MOST_DISKS."""
-    lacking = F.when(F.col("needed").between(1, MOST_DISKS), F.array_except(F.sequence(F.lit(1).cast("long"), F.least("needed", F.lit(MOST_DISKS))), "covered"))
-    return coverage.withColumn("missing", lacking)
+    """``missing``: runs (``first``, ``last``) of disks in 1..needed that a lineage lacks, and ``missing_count``; no list of 1..needed is ever made, so any declared count will do."""
+    inside = F.filter("covered", lambda d: (d >= 1) & (d <= F.col("needed")))
+    zero = F.array(F.lit(0).cast("long"))
+    runs = F.filter(F.zip_with(F.concat(zero, inside), F.concat(inside, F.array(F.col("needed") + 1)), lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last"))), lambda r: r["first"] <= r["last"])
+    return coverage.withColumn("missing", runs).withColumn("missing_count", F.aggregate("missing", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1))
+
+
+def runs_text(runs: Column) -> Column:
+    """Runs of disks as text: ``2``, ``2,3``, ``2-9``."""
+    one = lambda r: F.when(r["first"] == r["last"], r["first"].cast("string")).otherwise(F.concat(r["first"].cast("string"), F.when(r["last"] == r["first"] + 1, ",").otherwise("-"), r["last"].cast("string")))
+    return F.array_join(F.transform(runs, one), ",")
 
 
 def trainer_options(artifacts: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def playable_sets(artifacts: DataFrame) -> DataFrame:
     options = options.select(*SET, "tag", F.array_join(F.transform("_o", lambda o: F.concat(F.coalesce(o["trainer"], F.lit("-")), F.lit("="), o["uid"], F.when(o["is_default"], "*").otherwise(""))), ",").alias("options"))
     joined = rows.alias("r").join(files.alias("f"), same_set("r", "f", (*SET, "tag")), "left").join(options.alias("o"), same_set("r", "o", (*SET, "tag")), "left")
     return joined.select(
-        *(F.col(f"r.{k}").alias(k) for k in SET), "r.tag", "r.kind", "r.trainer", "r.complete", F.array_join("r.missing", ",").alias("missing"), (F.col("r.place") == 1).alias("recommended"),
+        *(F.col(f"r.{k}").alias(k) for k in SET), "r.tag", "r.kind", "r.trainer", "r.complete", runs_text(F.col("r.missing")).alias("missing"), (F.col("r.place") == 1).alias("recommended"),
         F.when(F.col("r.complete"), F.col("f.files")).otherwise("").alias("files"), F.coalesce("o.options", F.lit("")).alias("options"),
     )
 
@@ -142,6 +148,28 @@ def set_export(artifacts: DataFrame, tag: str | None = None, boot: DataFrame | N
     return named.select(*SET, "tag", "disk", "uid", canonical().alias("canonical"), "sha1")
 
 
+def export_requests(artifacts: DataFrame, requests: DataFrame) -> DataFrame:
+    """One answer per request (``request``, set key, ``tag``, ``boot``): its files in disk order, or an ``error``.
+
+    A set that isn't there and a lineage that isn't complete (unknown ones too)
+    are errors; a boot dump that isn't a sound dump of the boot disk is ignored.
+    """
+    cover = lineage_coverage(artifacts).where("complete").select(*SET, "tag")
+    known = artifacts.select(*SET).distinct()
+    asked = requests.alias("q").join(known.alias("k"), same_set("q", "k"), "left_semi").select("request").withColumn("_known", F.lit(True))
+    whole = requests.alias("q").join(cover.alias("c"), same_set("q", "c", (*SET, "tag")), "left_semi")
+    best = best_per_disk(artifacts)
+    files = whole.alias("q").join(best.alias("b"), same_set("q", "b", (*SET, "tag"))).select("q.request", "q.boot", *(F.col(f"b.{k}").alias(k) for k in (*SET, "tag", "disk", "disk_no", "uid")))
+    first = files.groupBy("request").agg(F.min("disk").alias("_first"))
+    sound_dumps = _members(artifacts, 1).where(sound()).select(*SET, "tag", "disk", "uid")
+    files = files.join(first, "request")
+    valid = files.where((F.col("disk") == F.col("_first")) & F.col("boot").isNotNull()).alias("f").join(sound_dumps.alias("s"), same_set("f", "s", (*SET, "tag", "disk")) & (F.col("f.boot") == F.col("s.uid"))).select("f.request").distinct().withColumn("_boots", F.lit(True))
+    files = files.join(valid, "request", "left").withColumn("uid", F.when(F.col("_boots") & (F.col("disk") == F.col("_first")), F.col("boot")).otherwise(F.col("uid")))
+    named = files.join(artifacts.select("uid", "sha1"), "uid").groupBy("request").agg(F.array_sort(F.collect_list(F.struct("disk", canonical().alias("canonical"), "sha1"))).alias("files"))
+    error = F.when(F.col("_known").isNull(), "unknown set").when(F.col("files").isNull(), F.concat(F.lit("lineage '"), F.coalesce("tag", F.lit("")), F.lit("' is not a complete set")))
+    return requests.select("request", "tag").join(asked, "request", "left").join(named, "request", "left").select("request", "files", error.alias("error"))
+
+
 def canonical() -> Column:
     return naming.canonical_name(F.col("title"), F.col("version"), F.col("language"), F.col("disk_no"), F.col("disk_count"), F.col("uid"))
 
@@ -196,18 +224,19 @@ def work_facets(sets: DataFrame) -> DataFrame:
 
 
 def grouped_works(facets: DataFrame, by: str) -> DataFrame:
-    """Works counted by genre, publisher, category or decade; missing values are Unknown."""
+    """Works counted by genre, publisher, category or decade, or all as one group (``none``); missing values are Unknown."""
     keys = {
-        "genre": F.coalesce(F.nullif("genre", F.lit("")), F.lit("Unknown")), "publisher": F.coalesce(F.nullif("publisher", F.lit("")), F.lit("Unknown")), "category": F.col("category"),
+        "none": F.lit(""), "genre": F.coalesce(F.nullif("genre", F.lit("")), F.lit("Unknown")), "publisher": F.coalesce(F.nullif("publisher", F.lit("")), F.lit("Unknown")), "category": F.col("category"),
         "decade": F.coalesce(F.concat((F.floor(F.col("year") / 10) * 10).cast("string"), F.lit("s")), F.lit("Unknown")),
     }
     return facets.groupBy(keys[by].alias("group_name")).agg(F.count("*").alias("works"))
 
 
 def sorted_works(facets: DataFrame, by: str) -> DataFrame:
-    """Works sorted by title, year (latest first, unknown last), publisher, genre or completeness, then name: a range-partitioned global sort."""
-    first = {"title": [], "year": [F.coalesce("year", F.lit(-1)).desc()], "publisher": [F.col("publisher")], "genre": [F.col("genre")], "completeness": [F.col("complete").desc()]}[by]
-    return facets.orderBy(*first, "name")
+    """Works sorted by title, year (latest first, unknown last), publisher, genre or completeness, then name: a range-partitioned global sort. Texts are ordered as people sort them (root collation), equal ones by code point."""
+    text = lambda c: F.expr(f"collate({c}, 'UNICODE')")
+    first = {"title": [], "year": [F.coalesce("year", F.lit(-1)).desc()], "publisher": [text("publisher")], "genre": [text("genre")], "completeness": [F.col("complete").desc()]}[by]
+    return facets.orderBy(*first, text("name"), "name")
 
 
 def version_timeline(sets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "diskloom") -> SparkSession:
@@ -51,13 +52,30 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
     unset (local runs and tests) a folder of our own is used.
     """
-    context = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, set where it is unset and the master is local."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="diskloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all slots of the session where its files give fewer slices than that."""
+    spark = df.sparkSession
+    return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(parallelism(spark))
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -37,31 +37,54 @@ class BlobStore:
 
 
 class Snapshots:
-    """Catalog tables as numbered snapshot folders; a pointer file names the current one, so readers never see a half-written table."""
+    """Catalog tables as numbered commits on a shared file system.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    A commit holds whole tables or rows to append to them; a reader takes the
+    last whole one and all appended after it, up to the current commit, so it
+    never sees a half-written one. A writer claims its number before it writes
+    data: a second writer fails, and the same one may try again after a failure.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, owner: str = "owner"):
+        self.spark, self.root, self.owner = spark, root, owner
 
     def _fs(self, path: str):  # noqa: ANN202
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, path: str) -> set[str]:
+        fs, p = self._fs(path)
+        return {s.getPath().getName() for s in fs.listStatus(p)} if fs.exists(p) else set()
+
     def current(self) -> int:
-        """Number of the current snapshot, 0 for none."""
-        fs, p = self._fs(f"{self.root}/_current")
-        if not fs.exists(p):
-            return 0
-        return int(max(s.getPath().getName() for s in fs.listStatus(p)))
+        """Number of the current commit, 0 for none."""
+        return int(max(self._names(f"{self.root}/_current"), default="0"))
 
     def read(self, name: str) -> DataFrame | None:
-        n = self.current()
-        fs, p = self._fs(f"{self.root}/{n:09d}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{n:09d}/{name}") if n and fs.exists(p) else None
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables as the next snapshot, then point to it (an atomic file creation)."""
+        paths = []
+        for n in range(self.current(), 0, -1):
+            have = self._names(f"{self.root}/{n:09d}")
+            if f"{name}.rows" in have:
+                paths.append(f"{self.root}/{n:09d}/{name}.rows")
+            if name in have:
+                paths.append(f"{self.root}/{n:09d}/{name}")
+                break
+        return self.spark.read.parquet(*paths[::-1]) if paths else None
+
+    def _claim(self, n: int) -> None:
+        fs, p = self._fs(f"{self.root}/_claims/{n:09d}-{self.owner}")
+        others = {x for x in self._names(f"{self.root}/_claims") if x.startswith(f"{n:09d}-")} - {p.getName()}
+        if not others and not fs.exists(p):
+            fs.create(p, False).close()
+            others = {x for x in self._names(f"{self.root}/_claims") if x.startswith(f"{n:09d}-")} - {p.getName()}
+        if others:
+            raise RuntimeError(f"commit {n} is claimed by another writer: {sorted(others)}")
+
+    def commit(self, tables: dict[str, DataFrame], rows: dict[str, DataFrame] | None = None) -> int:
+        """Write ``tables`` whole and append ``rows``, then point to the commit (an atomic file creation)."""
         n = self.current() + 1
-        for name, df in tables.items():
+        self._claim(n)
+        for name, df in [*tables.items(), *((f"{k}.rows", v) for k, v in (rows or {}).items())]:
             df.write.mode("overwrite").parquet(f"{self.root}/{n:09d}/{name}")
         fs, p = self._fs(f"{self.root}/_current/{n:09d}")
         fs.create(p, False).close()

@@ -82,7 +82,7 @@ def decode(uploads: DataFrame) -> DataFrame:
                         raise ValueError("unknown container")
                     out += [(seq, n, kind, d, None) for n, d in decoders[kind](name, bytes(data))]
                 except Exception as e:
-                    out.append((seq, name, kind, None, str(e)[:200] or type(e).__name__))
+                    out.append((seq, name, kind, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["ingest_seq", "name", "container", "content", "error"])
 
     return uploads.select("ingest_seq", "filename", detect(F.col("filename"), F.col("content")).alias("container"), "content").mapInPandas(run, DECODED)

@@ -50,7 +50,8 @@ def test_only_unsound_dumps(spark):
 def test_hostile_disk_count(spark):
     a = catalog(spark, ["X (1990)(P)(Disk 1 of 4294967295).adf"])
     m = sets.missing_disks(sets.lineage_coverage(a)).first()
-    assert m.missing is None and not m.complete
+    assert [tuple(r) for r in m.missing] == [(2, 4294967295)] and m.missing_count == 4294967294 and not m.complete
+    assert sets.playable_sets(a).first().missing == "2-4294967295"
 
 
 def test_hash_match_orders(spark):
@@ -167,4 +168,5 @@ def test_blobs_snapshots_and_stream(spark, tmp_path):
         ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "cat"), str(tmp_path / "state")).awaitTermination()
         uploads.write.mode("append").parquet(str(tmp_path / "in"))
     stored = blobs.Snapshots(spark, str(tmp_path / "cat")).read("artifact").collect()
-    assert sorted((r.filename, r.title) for r in stored) == [("A (1990)(P).adf", "A"), ("noname.adf", None)]
+    assert sorted((r.orig_filename, r.display_title or "") for r in stored) == [("A (1990)(P).adf", "A"), ("noname.adf", "")]
+    assert sorted((r.batch, r.stored, r.duplicate, r.quarantined, r.failed) for r in blobs.Snapshots(spark, str(tmp_path / "cat")).read("progress").collect()) == [(0, 2, 1, 1, 0), (1, 0, 3, 0, 0)]
