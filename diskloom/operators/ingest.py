@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
@@ -83,12 +83,13 @@ def ingest(catalog: dict[str, DataFrame], uploads: DataFrame, entries: DataFrame
     outcome = (
         images.select("ingest_seq", "filename", "sha1").join(every.select("sha1", "uid", "verified", "edition_id", "orig_filename"), "sha1")
         .join(rows.select("sha1", F.col("ingest_seq").alias("_first"), F.col("filename").alias("_name")), "sha1", "left")
-        .withColumn("kind", F.when((F.col("_first") == F.col("ingest_seq")) & (F.col("_name") == F.col("filename")), "stored").otherwise("duplicate"))
+        .withColumn("_copy", F.row_number().over(Window.partitionBy("sha1", "ingest_seq", "filename").orderBy("uid")))
+        .withColumn("kind", F.when((F.col("_first") == F.col("ingest_seq")) & (F.col("_name") == F.col("filename")) & (F.col("_copy") == 1), "stored").otherwise("duplicate"))
         .select("ingest_seq", "filename", "uid", "kind", F.when(F.col("kind") == "stored", F.col("verified")).alias("verified"), F.when(F.col("kind") == "stored", F.col("edition_id").isNull()).alias("quarantined"))
     )
     return {
         "title": new_titles, "edition": new_editions, "artifact": stored, "quarantine": stored.where(F.col("edition_id").isNull()).select(F.col("uid").alias("artifact_uid"), F.lit(REASON).alias("reason")),
-        "primary": primaries_of(titles, editions, every, stored.where(F.col("edition_id").isNotNull()).select("edition_id")), "outcome": outcome, "error": failed,
+        "primary": durable(primaries_of(titles, editions, every, stored.where(F.col("edition_id").isNotNull()).select("edition_id"))), "outcome": outcome, "error": failed,
     }
 
 

@@ -186,7 +186,7 @@ def list_sets(artifacts: DataFrame, incomplete_only: bool = False) -> DataFrame:
     )
     counts = ("complete_lineages", "original_count", "cracked_count", "hacked_count")
     out = shape.alias("s").join(lines.alias("l"), same_set("s", "l"), "left").select(
-        *(F.col(f"s.{k}").alias(k) for k in SET), naming.version_key(F.col("s.version")).alias("version_key"), "s.year", ((F.col("s.disk_count") > 1) | (F.col("s.editions") > 1)).alias("multi"),
+        *(F.col(f"s.{k}").alias(k) for k in SET), naming.version_key(F.col("s.version")).alias("version_key"), "s.year", (F.coalesce(F.col("s.disk_count") > 1, F.lit(False)) | (F.col("s.editions") > 1)).alias("multi"),
         F.array_join(F.col("s._disks"), ",").alias("disks_present"), "s.variant_count", "l.primary_lineage", *(F.coalesce(f"l.{c}", F.lit(0)).alias(c) for c in counts),
     )
     return out.where("complete_lineages = 0") if incomplete_only else out
