@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags, identity, naming
-from ..session import small
+from ..session import durable, small
 
 HASHES = ("sha1", "md5", "crc32")
 INFO = ("dump_type", "crack_group", "trainer", "bad", "virus", "over", "under", "alt_index", "modifications", "verified_good", "lineage")
@@ -42,17 +42,20 @@ def hash_match(items: DataFrame, entries: DataFrame, key: str = "uid", strict: b
     (entries without one come last, behind those with another), then same md5
     (likewise), then the lowest dat_id; with ``strict`` simply sha1, md5, crc32.
     """
-    side = lambda df, k: df.select(k, F.explode(F.array(*(F.struct(F.lit(h).alias("kind"), F.col(h).alias("hash")) for h in HASHES))).alias("x")).select(k, "x.*").where(F.col("hash").isNotNull())
-    hits = side(items.select(key, *HASHES).distinct(), key).join(side(entries.select("dat_id", *HASHES), "dat_id"), ["kind", "hash"])
-    per_hit = hits.groupBy(key, "dat_id").agg(*(F.max(F.col("kind") == h).alias(f"same_{h}") for h in HASHES))
+    def side(df: DataFrame, k: str, *flags: Column) -> DataFrame:
+        return df.select(k, *flags, F.explode(F.array(*(F.struct(F.lit(h).alias("kind"), F.col(h).alias("hash")) for h in HASHES))).alias("x")).select("*", "x.*").drop("x").where(F.col("hash").isNotNull())
+
+    # Which hashes either side lacks goes along with each of its hashes.
+    lacks = lambda prefix: [F.col(h).isNull().alias(f"{prefix}_no_{h}") for h in ("sha1", "md5")]
+    listed = small(side(entries.select("dat_id", *HASHES), "dat_id", *lacks("their")).distinct())
+    hits = side(items.select(key, *HASHES).distinct(), key, *lacks("own")).join(listed, ["kind", "hash"])
+    per_hit = hits.groupBy(key, "dat_id").agg(*(F.max(F.col("kind") == h).alias(f"same_{h}") for h in HASHES), *(F.max(f"{p}_no_{h}").alias(f"{p}_no_{h}") for p in ("own", "their") for h in ("sha1", "md5")))
     if strict:
         order = F.struct(~F.col("same_sha1"), ~F.col("same_md5"), "dat_id")
-        return per_hit.groupBy(key).agg(F.min_by("dat_id", order).alias("dat_id"))
-    lacking = entries.select("dat_id", F.col("sha1").isNull().alias("no_sha1"), F.col("md5").isNull().alias("no_md5"))
-    place = lambda h: F.when(F.col(f"same_{h}"), 0).when(F.col(f"no_{h}"), 2).otherwise(1)
-    own = items.select(key, F.col("sha1").isNull().alias("own_no_sha1"), F.col("md5").isNull().alias("own_no_md5")).distinct()
-    order = F.struct(F.when(F.col("own_no_sha1"), 2).otherwise(place("sha1")).alias("a"), F.when(F.col("own_no_md5"), 2).otherwise(place("md5")).alias("b"), "dat_id")
-    return per_hit.join(lacking, "dat_id").join(own, key).groupBy(key).agg(F.min_by("dat_id", order).alias("dat_id"))
+    else:
+        place = lambda h: F.when(F.col(f"own_no_{h}"), 2).when(F.col(f"same_{h}"), 0).when(F.col(f"their_no_{h}"), 2).otherwise(1)
+        order = F.struct(place("sha1").alias("a"), place("md5").alias("b"), "dat_id")
+    return per_hit.groupBy(key).agg(F.min_by("dat_id", order).alias("dat_id"))
 
 
 def identified(images: DataFrame, entries: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
@@ -68,13 +71,13 @@ def identified(images: DataFrame, entries: DataFrame | None = None, stored: Data
     if entries is None:
         rows = naming.expand(rows, parsed).withColumns({"verified": F.lit(False), "tosec_name": F.when(F.col("title").isNotNull(), F.col("filename")), "_source": F.lit(None).cast("string")})
     else:
-        match = hash_match(rows, entries)
         fallback = F.struct(
             F.coalesce("title", "name").alias("title"), F.col("version"), F.col("language"), F.col("publisher"), F.col("year").cast("int").alias("year"), F.col("disk_no").cast("long").alias("disk_no"),
             F.col("disk_count").cast("long").alias("disk_count"), F.lit(None).cast("string").alias("qualifier"), F.array().cast("array<string>").alias("flags"),
         )
         listed = entries.select("dat_id", F.col("name").alias("_list_name"), F.col("source").alias("_source"), F.coalesce(naming.parse_name(F.col("name")), fallback).alias("_listed"))
-        rows = rows.join(match, "uid", "left").join(listed, "dat_id", "left")
+        match = small(durable(hash_match(rows, entries).join(listed, "dat_id")))
+        rows = rows.join(match, "uid", "left")
         rows = naming.expand(rows, F.when(F.col("_listed").isNotNull(), F.col("_listed")).otherwise(parsed))
         rows = rows.withColumns({"verified": F.col("dat_id").isNotNull(), "tosec_name": F.when(F.col("dat_id").isNotNull(), F.col("_list_name")).when(F.col("title").isNotNull(), F.col("filename"))}).drop("dat_id", "_list_name", "_listed")
     rows = rows.withColumn("category", F.when(F.col("title").isNotNull(), flags.category(F.col("qualifier"), F.col("_source")))).drop("_source")

@@ -45,7 +45,7 @@ def primaries_of(title: DataFrame, edition: DataFrame, artifact: DataFrame, touc
         keys = [k for k in maintain.KEY if k != "disk_no"]
         hit = edition.join(touched.select(F.col("edition_id").alias("id")).distinct(), "id", "left_semi").select(*keys).distinct()
         edition = edition.alias("e").join(hit.alias("h"), maintain.null_safe("e", "h", tuple(keys)), "left_semi")
-    members = stored_members(title, edition, artifact)
+    members = durable(stored_members(title, edition, artifact).select(*sets.EDITION, "edition_id", "uid", "trainer", "dump_type", "lineage", "bad", "virus", "over", "under", "verified_good", "alt_index", "modifications"))
     ids = members.select(*sets.EDITION, "edition_id").distinct()
     return sets.coherent_primaries(members).alias("p").join(ids.alias("i"), sets.same_set("p", "i", sets.EDITION)).select("i.edition_id", F.col("p.primary_uid").alias("uid"))
 

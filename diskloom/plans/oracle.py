@@ -155,10 +155,10 @@ ORACLE: dict[str, str] = {
     "decode_zip": f"SELECT l_orderkey * 10 + l_linenumber AS ingest_seq, 'disks/' || {NAME} AS name, 'zip' AS container, sha1({CONTENT}) AS sha1 FROM lineitem JOIN part ON l_partkey = p_partkey",
     "list_parse": "SELECT source, name, lower(sha1) AS sha1, lower(crc32) AS crc32, lower(md5) AS md5, try_cast(nullif(regexp_extract(name, '(?i)\\(disk ([0-9]+) of ([0-9]+)\\)', 1), '') AS BIGINT) AS disk_no, try_cast(nullif(regexp_extract(name, '(?i)\\(disk ([0-9]+) of ([0-9]+)\\)', 2), '') AS BIGINT) AS disk_count FROM dat_entry",
     "hash_match_priority": f"""WITH i AS (SELECT DISTINCT substr(sha1({CONTENT}), 1, 10) AS uid, sha1({CONTENT}) AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey),
-        d AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS dat_id, CASE WHEN l_linenumber % 3 > 0 THEN sha1({CONTENT}) END AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0),
+        d AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 268435456 + CAST('0x' || substr(md5({CONTENT}), 1, 7) AS BIGINT) AS dat_id, CASE WHEN l_linenumber % 3 > 0 THEN sha1({CONTENT}) END AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0),
         h AS (SELECT i.uid, d.dat_id, row_number() OVER (PARTITION BY i.uid ORDER BY (d.sha1 = i.sha1) DESC NULLS LAST, (d.md5 = i.md5) DESC NULLS LAST, d.dat_id) AS n FROM i JOIN d ON d.md5 = i.md5) SELECT uid, dat_id FROM h WHERE n = 1""",
     "hash_match_strict": f"""WITH i AS (SELECT DISTINCT substr(sha1({CONTENT}), 1, 10) AS uid, sha1({CONTENT}) AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey),
-        d AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS dat_id, CASE WHEN l_linenumber % 3 > 0 THEN sha1({CONTENT}) END AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0),
+        d AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 268435456 + CAST('0x' || substr(md5({CONTENT}), 1, 7) AS BIGINT) AS dat_id, CASE WHEN l_linenumber % 3 > 0 THEN sha1({CONTENT}) END AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0),
         h AS (SELECT i.uid, d.dat_id, row_number() OVER (PARTITION BY i.uid ORDER BY CASE WHEN d.sha1 = i.sha1 THEN 0 ELSE 1 END, d.dat_id) AS n FROM i JOIN d ON d.md5 = i.md5) SELECT uid, dat_id FROM h WHERE n = 1""",
     "hash_match_null_order": """WITH e AS (SELECT dat_id, CASE WHEN dat_id % 2 = 0 THEN sha1 END AS sha1, crc32, md5 FROM dat_entry UNION ALL SELECT dat_id + 100000, sha1(CAST(dat_id AS VARCHAR)), crc32, NULL FROM dat_entry),
         i AS (SELECT DISTINCT name AS uid, CASE WHEN dat_id % 3 = 0 THEN sha1(name) ELSE sha1 END AS sha1, crc32, md5 FROM dat_entry),

@@ -58,7 +58,7 @@ def bridge_list(spark: SparkSession, folder: str) -> DataFrame:
     content = F.expr(bridge.CONTENT).cast("binary")
     blank = F.lit(None).cast("string")
     return rows.select(
-        F.expr("(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey").alias("dat_id"), F.lit("List").alias("source"), F.expr(bridge.NAME).alias("name"), F.when(F.expr("l_linenumber % 3 > 0"), F.sha1(content)).alias("sha1"),
+        (F.expr("l_orderkey * 10 + l_linenumber") * (1 << 28) + F.conv(F.substring(F.md5(content), 1, 7), 16, 10).cast("long")).alias("dat_id"), F.lit("List").alias("source"), F.expr(bridge.NAME).alias("name"), F.when(F.expr("l_linenumber % 3 > 0"), F.sha1(content)).alias("sha1"),
         blank.alias("crc32"), F.md5(content).alias("md5"), *(blank.alias(c) for c in ("title", "version", "language", "publisher", "year", "disk_no", "disk_count")),
     ).distinct()
 

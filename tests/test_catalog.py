@@ -1,11 +1,14 @@
 import gzip
+import hashlib
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from diskloom.functions import identity
-from diskloom.operators import browse, components, enrich, identify, maintain, sets, skew
+from diskloom.operators import browse, components, enrich, identify, maintain, once, sets, skew
+from diskloom.operators import ingest as batch
 from diskloom.sources import blobs, containers, lists, pages
 from diskloom.streaming import ingest
 
@@ -66,6 +69,114 @@ def test_uid_extension(spark):
     assert {r.sha1[:13]: r.uid for r in identity.assign_uids(rows).collect()} == {"abcdef0123000": "abcdef0123", "abcdef0123999": "abcdef01239", "f" * 13: "f" * 10}
 
 
+def empty_catalog(spark):
+    return {n: batch.empty(spark, n) for n in ("title", "edition", "artifact", "quarantine")}
+
+
+def uploads_of(spark, names, start=0):
+    return spark.createDataFrame([(start + k, n, (n if c is None else c).encode()) for k, (n, c) in enumerate(names)], "ingest_seq long, filename string, content binary")
+
+
+def test_uids_of_later_batches_avoid_stored_ones(spark):
+    stored = spark.createDataFrame([("abcdef0123" + "0" * 30, "abcdef0123"), ("abcdef0123" + "1" * 30, "abcdef01231")], "sha1 string, uid string")
+    fresh = spark.createDataFrame([("abcdef0123" + "12" * 15, 7), ("abcdef0123" + "9" * 30, 8), ("e" * 40, 9)], "sha1 string, ingest_seq long")
+    assert {r.sha1[10:12] or "": r.uid for r in identity.assign_uids(fresh, stored=stored).collect()} == {"12": "abcdef012312", "99": "abcdef01239", "ee": "e" * 10}
+
+
+def test_ingest_in_batches(spark):
+    one = batch.ingest(empty_catalog(spark), uploads_of(spark, [("A v1.0 (1990)(P)(Disk 1 of 2)[cr X].adf", None), ("A v1.0 (1990)(P)(Disk 2 of 2)[cr X].adf", None), ("noname.adf", "zz"), ("again.adf", "zz"), ("A v1.0 (1990)(P)(Disk 1 of 2).adf", "q"), ("x.txt", "?"), ("bad.adz", "no gzip")]))
+    catalog = batch.add(empty_catalog(spark), one)
+    assert sorted((r.kind, r.quarantined) for r in one["outcome"].collect()) == [("duplicate", None), ("stored", False), ("stored", False), ("stored", False), ("stored", True)]
+    assert {r.filename for r in one["error"].collect()} == {"x.txt", "bad.adz"} and catalog["title"].count() == 1 and catalog["edition"].count() == 2
+    lineage = {r.uid: r.lineage for r in catalog["artifact"].collect()}
+    assert [lineage[r.primary_artifact_uid] for r in catalog["edition"].orderBy("disk_no").collect()] == ["X", "X"]  # one lineage covers the set
+    entries = batch.empty(spark, "dat_entry")
+    fresh = spark.createDataFrame([("L", "B (1991)(Q)", None, None, None, 2), ("L", "C - tool (1992)(Q)", hashlib.sha1(b"zz").hexdigest(), None, None, 1)], "source string, name string, sha1 string, crc32 string, md5 string, position int")
+    for c in entries.columns:
+        if c not in fresh.columns:
+            fresh = fresh.withColumn(c, F.lit(None).cast(entries.schema[c].dataType))
+    entries = entries.unionByName(maintain.import_entries(entries, fresh))
+    assert {(r.dat_id, r.name[0]) for r in entries.collect()} == {(1, "C"), (2, "B")}
+    two = batch.ingest(catalog, uploads_of(spark, [("other.adf", "zz"), ("A v1.0 (1990)(P)(Disk 2 of 2).adf", "w")], 100), entries)
+    catalog = batch.add(catalog, two)
+    # What was quarantined before the list came stays so; the set's plain dumps now cover it, unmodified.
+    assert [r.kind for r in two["outcome"].orderBy("ingest_seq").collect()] == ["duplicate", "stored"] and catalog["quarantine"].count() == 1
+    assert [catalog["artifact"].where(F.col("uid") == r.primary_artifact_uid).first().lineage for r in catalog["edition"].orderBy("disk_no").collect()] == [None, None]
+    held = catalog["quarantine"].first().artifact_uid
+    wanted = spark.createDataFrame([(held, 1, " New ", "", None, "en", None, 1, 1), ("nobody", 2, "Ghost", "demo", None, None, None, None, None)], "uid string, seq long, title string, category string, version string, language string, publisher string, disk_no long, disk_count long")
+    after = batch.resolve(catalog, wanted)
+    moved = after["artifact"].where(F.col("uid") == held).first()
+    assert moved.display_title == " New " and after["quarantine"].isEmpty() and after["title"].where("name = 'New'").count() == 1 and after["edition"].where("primary_artifact_uid = '" + held + "'").count() == 1
+    clean = browse.without_empties(after | {"title_meta": after["title"].select(F.col("id").alias("title_id"))})
+    assert after["title"].count() == 3 and clean["title"].count() == 2 and clean["title_meta"].count() == 2
+
+
+def test_two_writers_of_one_commit(spark, tmp_path):
+    rows = spark.range(3).withColumnRenamed("id", "n")
+    a, b = blobs.Snapshots(spark, str(tmp_path), "a"), blobs.Snapshots(spark, str(tmp_path), "b")
+    assert a.commit({"t": rows}) == 1 and b.commit({}, {"t": rows}) == 2 and a.read("t").count() == 6 and a.read("u") is None
+    a._claim(3)
+    with pytest.raises(RuntimeError):
+        b.commit({"t": rows})
+    assert a.commit({"t": rows}) == 3 and b.read("t").count() == 3
+
+
+def test_enrichment_run(spark):
+    titles = spark.createDataFrame([(1, "A-10 Tank Killer"), (2, "The Addams Family"), (3, "Zool")], "title_id long, name string")
+    page = '<h1>{}</h1><div class="game-about">{}</div><img src="/image/c{}?t=lbcover" alt="front"><a href="/image/s{}?s=2x"></a>'
+    site = spark.createDataFrame([("u1", "a10 tank killer", page.format("A10 Tank Killer", "long text " * 6, 1, 1)), ("u2", "addams family", page.format("Addams Family", "short", 2, 2)), ("u3", "other", None)], "url string, label string, html string")
+    images = spark.createDataFrame([("c1", b"\xff\xd8\xff1", None), ("s1", None, None), ("s2", b"GIF8", "text/html")], "url string, content binary, header string")
+    old = spark.createDataFrame([(1, "old", "m", None, "x", 0, "screenshot"), (2, "old", "m", None, "x", 0, "cover"), (3, "old", "m", None, "x", 0, "cover")], "title_id long, blob_sha1 string, mime string, caption string, source string, ord long, kind string")
+    meta = spark.createDataFrame([(3, "kept", None, None, None, None, None, 5)], "title_id long, genre string, description string, year int, sources string, external_url string, match_score double, fetched_at long")
+    found, shots, report = enrich.run(titles, [enrich.PageProvider("site", 1, site)], images, meta, old, 99)
+    assert tuple(report.first()) == (3, 2, 1)
+    assert {(r.title_id, r.fetched_at, r.description is not None) for r in found.collect()} == {(1, 99, True), (2, 99, False), (3, 5, False)}
+    # The failed shot of title 1 and the failed cover of title 2 leave what was there.
+    assert {(r.title_id, r.kind, r.mime) for r in shots.collect()} == {(1, "cover", "image/jpeg"), (1, "screenshot", "m"), (2, "cover", "m"), (2, "screenshot", "image/gif"), (3, "cover", "m")}
+
+
+def test_export_requests(spark):
+    a = catalog(spark, ["G (1990)(P)(Disk 1 of 2)[cr X].adf", "G (1990)(P)(Disk 2 of 2)[cr X].adf", "G (1990)(P)(Disk 1 of 2)[cr X][t +3].adf", "G (1990)(P)(Disk 1 of 2).adf"]).cache()
+    key = a.select(*sets.SET).distinct()
+    trained = a.where("trainer IS NOT NULL").first().uid
+    asked = key.crossJoin(spark.createDataFrame([(1, "X", None), (2, "X", trained), (3, "X", "nonsense"), (4, "", None), (5, "Nobody", None)], "request int, tag string, boot string"))
+    asked = asked.unionByName(asked.where("request = 1").withColumns({"title": F.lit("none"), "request": F.lit(6)}))
+    got = {r.request: (r.files and len(r.files), r.error) for r in sets.export_requests(a, asked).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {1: 2, 2: 2, 3: 2, 4: None, 5: None, 6: None} and got[6][1] == "unknown set" and "not a complete set" in got[4][1]
+    boot = {r.request: r.files[0].canonical for r in sets.export_requests(a, asked).where("files IS NOT NULL").collect()}
+    assert trained in boot[2] and trained not in boot[1] and boot[1] == boot[3]
+
+
+def test_grid_sorts(spark):
+    facets = spark.createDataFrame([("beta", 1990, "Zed", "b", True, "game"), ("Alpha", None, "abc", "", False, "game"), ("älpha", 1992, "", "a", True, "demo")], "name string, year int, publisher string, genre string, complete boolean, category string")
+    names = lambda by: [r.name for r in sets.sorted_works(facets, by).collect()]
+    assert names("title") == ["Alpha", "älpha", "beta"] and names("year") == ["älpha", "beta", "Alpha"] and names("publisher") == ["älpha", "Alpha", "beta"] and names("genre") == ["Alpha", "älpha", "beta"] and names("completeness") == ["älpha", "beta", "Alpha"]
+
+
+def test_views_and_downloads(spark):
+    rows = spark.createDataFrame([("t", 2, None), ("t", 1, "x")], "t string, id int, v string")
+    assert [r.json for r in browse.json_view(rows, "all", ("t",), ("id",)).collect()] == ['{"all":[{"id":1,"v":"x"},{"id":2,"v":null}]}'] and browse.json_view(rows, "all").count() == 2
+    shots = spark.createDataFrame([(1, "s", "image/png", 1), (1, "s", "image/gif", 0)], "title_id long, blob_sha1 string, mime string, ord long")
+    data = spark.createDataFrame([("s", b"1")], "sha1 string, content binary")
+    assert [(r.mime, bytes(r.content)) for r in browse.media(shots, data).collect()] == [("image/gif", b"1")]
+    held = spark.createDataFrame([("u", "n.adf", "s"), ("v", "m.adf", "none")], "uid string, canonical string, blob_sha1 string")
+    assert [(r.uid, r.canonical, bytes(r.content)) for r in browse.download(held, data, held.select("uid")).collect()] == [("u", "n.adf", b"1")]
+
+
+def test_folder_walk(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "X.ADF").write_bytes(b"1")
+    (tmp_path / "b.txt").write_bytes(b"2")
+    assert [r.path.rsplit("/", 1)[1] for r in containers.walk(spark, str(tmp_path)).collect()] == ["X.ADF"]
+
+
+def test_one_row_per_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k long, v string")
+    for most in (10, 0):
+        assert sorted(str(r.k) for r in once.once_per_key(rows, "k", most).collect()) == ["1", "2", "None"]
+    assert once.once_per_key(rows.limit(0), "k").isEmpty() and once.once_per_key(rows.where("v = 'c'"), "k").count() == 1
+
+
 def test_containers(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:

@@ -25,7 +25,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["parse_names", "identify_uploads", "coherent_primaries", "playable_sets", "list_sets", "browse_search", "hash_match_null_order", "provider_merge", "fuzzy_best_match", "reidentify_report", "upload_tally", "list_parse"])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
