@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import LANGUAGES
-from ..session import durable, parallelism
+from ..session import durable, parallelism, small
 from . import names
 
 GRAM = 3
@@ -165,11 +165,6 @@ def shown(tokens: list[str], short: list[bool], core: list[str], common: list[st
     return 0.85 * whole + 0.15 * words[:2][-1] if words else whole
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 class ReferenceList:
     """A list as tables: ``entries`` of titles, ``titles`` with core and common words, ``postings`` (gram, title, weight squared), ``norms``."""
 
@@ -204,10 +199,10 @@ class ReferenceList:
         titles = durable(bases.mapInPandas(cut, "title long, base string, core string, common string, grams array<long>"))
         each = titles.select("title", F.explode("grams").alias("gram"))
         weights = each.groupBy("gram").agg((F.log(1 + F.lit(float(self.size)) / F.count("*")) ** 2).alias("w"))
-        self.weights = _small(durable(weights), most)
+        self.weights = small(durable(weights), most)
         postings = durable(each.join(self.weights, "gram"))
         self.norms = postings.groupBy("title").agg(F.sqrt(F.sum("w")).alias("norm"))
-        self.postings = _small(postings, most)
+        self.postings = small(postings, most)
         self.titles = titles.drop("grams", "base").join(self.norms, "title")
         # Of entries that nothing tells apart the first is meant.
         details = ("core", "number", "version", "disk", "language", "crack", "demo")
@@ -219,7 +214,7 @@ class ReferenceList:
         own = queries.repartition(parallelism(queries.sparkSession), "query").select("query", F.explode("grams").alias("gram"))
         lengths = own.join(self.weights, "gram", "left").groupBy("query").agg(F.sqrt(F.sum(F.coalesce("w", F.lit(self.rare)))).alias("length"))
         dots = own.join(self.postings, "gram").groupBy("query", "title").agg(F.sum("w").alias("dot"))
-        return dots.join(lengths, "query").join(_small(self.norms, BROADCAST_ROWS), "title").select("query", "title", (F.col("dot") / F.col("length") / F.col("norm")).alias("cosine"))
+        return dots.join(lengths, "query").join(small(self.norms, BROADCAST_ROWS), "title").select("query", "title", (F.col("dot") / F.col("length") / F.col("norm")).alias("cosine"))
 
 
 _TYPED = "name string, tokens string, short string, grams array<long>, number int, version string, disk int, language string, crack string, demo boolean"

@@ -22,7 +22,8 @@ from . import names
 #: Length of the suffixes in the index.
 MIN_SUFFIX = 5
 #: A word is common if it occurs in this share of a field's distinct strings (and at least in LEAST of them), beside as many other words.
-COMMON_SHARE, COMMON_LEAST = 0.01, 8
+#: Words count as standing beside each other up to this distance.
+NEAR, COMMON_SHARE, COMMON_LEAST = 8, 0.01, 8
 #: Least share of three-letter groups in common for a pair to be compared in full (names without vowels always are).
 LEAST_LETTERS = 0.25
 #: Strings of a block that one task meets with all of the block.
@@ -47,8 +48,10 @@ def vocabularies(strings: DataFrame, series: frozenset[str]) -> dict[str, names.
         for frame in frames:
             out = []
             for f, s in zip(frame["field"], frame["name"], strict=True):
-                tokens = set(names.parse(s, f in series).tokens)
-                out += [(f, t, u) for t in tokens if len(t) > 3 for u in {"", *tokens} - {t}]
+                tokens = names.parse(s, f in series).tokens
+                # Each word with those up to NEAR places away, so a name of many words gives rows in proportion to them.
+                near = {pair for k, a in enumerate(tokens) for b in tokens[k + 1:k + 1 + NEAR] for pair in ((a, b), (b, a))} | {(t, "") for t in tokens}
+                out += [(f, t, u) for t, u in near if len(t) > 3 and t != u]
             yield pd.DataFrame(out, columns=["field", "token", "beside"])
 
     sizes = strings.groupBy("field").agg(F.count("*").alias("strings"))
