@@ -24,8 +24,6 @@ MIN_SUFFIX = 5
 #: A word is common if it occurs in this share of a field's distinct strings (and at least in LEAST of them), beside as many other words.
 #: Words count as standing beside each other up to this distance.
 NEAR, COMMON_SHARE, COMMON_LEAST = 8, 0.01, 8
-#: Least share of three-letter groups in common for a pair to be compared in full (names without vowels always are).
-LEAST_LETTERS = 0.25
 #: Strings of a block that one task meets with all of the block.
 HOT_BLOCK = 2_000
 #: Two strings are linked from this similarity on.
@@ -134,18 +132,14 @@ def links(strings: DataFrame, series: frozenset[str], accept: float = ACCEPT, ho
                 if len(cut) > 50_000:
                     cut.clear()
                 p = names.parse(s, f in series)
-                t = p.joined
-                bare = len(names.consonants(t)) >= 0.8 * len(t)  # y counts as i
-                cut[f, s] = (p.number, None if bare else {t[k:k + 3] for k in range(len(t) - 2)}, vocabulary[f].split(p) if f in vocabulary else (p.tokens, []))
+                cut[f, s] = (p.number, vocabulary[f].split(p) if f in vocabulary else (p.tokens, []))
             return cut[f, s]
 
         for frame in frames:
             out = []
             for f, a, b in zip(frame["field"], frame["name_a"], frame["name_b"], strict=True):
-                (na, ga, ca), (nb, gb, cb) = parts(f, a), parts(f, b)
-                if na != nb or ga is not None and gb is not None and len(ga & gb) < LEAST_LETTERS * min(len(ga), len(gb)):
-                    continue
-                if (s := names.similarity(ca, cb, accept)) >= accept:
+                (na, ca), (nb, cb) = parts(f, a), parts(f, b)
+                if na == nb and (s := names.similarity(ca, cb, accept)) >= accept:
                     out.append((f, a, b, s))
             yield pd.DataFrame(out, columns=["field", "name_a", "name_b", "score"])
 
