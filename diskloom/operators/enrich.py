@@ -139,13 +139,13 @@ def replace_images(existing: DataFrame, fresh: DataFrame, merged: DataFrame) ->
     return kept.unionByName(fresh.withColumn("k", kind).join(replaced, ["title_id", "k"], "left_semi").drop("k"))
 
 
-def run(titles: DataFrame, providers: list[Provider], images: DataFrame, meta: DataFrame, screenshots: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(titles: DataFrame, providers: list[Provider], images: DataFrame, meta: DataFrame, screenshots: DataFrame, now: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An enrichment of ``titles`` (``title_id``, ``name``): (metadata, screenshots, report) after it.
 
     Results of all providers are merged by priority; a title with none above the
     floor is skipped. ``images`` (``url``, ``content``, ``header``) are what could
     be fetched; a null content failed. ``now`` is the time of the run in unix
-    seconds. The report has ``total``, ``enriched`` and ``skipped``.
+    seconds, the present if it isn't given. The report has ``total``, ``enriched`` and ``skipped``.
     """
     results = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.results(titles) for p in providers))
     merged = durable(merge(results))
@@ -153,7 +153,7 @@ def run(titles: DataFrame, providers: list[Provider], images: DataFrame, meta: D
     blob = images.where(F.col("content").isNotNull()).select("url", F.sha1("content").alias("blob_sha1"), flags.image_type(F.col("content"), F.col("header")).alias("mime")).dropDuplicates(["url"])
     fresh = wanted.join(blob, "url").select("title_id", "blob_sha1", "mime", "caption", "source", F.col("ord").cast("long").alias("ord"), "kind")
     expected = merged.select("title_id", F.col("cover").isNotNull().alias("has_cover"), (F.size("shots") > 0).alias("has_shots"))
-    rows = merged.select("title_id", "genre", "description", "year", "sources", "external_url", F.col("score").cast("double").alias("match_score"), F.lit(now).cast("long").alias("fetched_at"))
+    rows = merged.select("title_id", "genre", "description", "year", "sources", "external_url", F.col("score").cast("double").alias("match_score"), (F.unix_timestamp() if now is None else F.lit(now)).cast("long").alias("fetched_at"))
     done = titles.select("title_id").distinct().join(rows.select("title_id", F.lit(True).alias("_hit")), "title_id", "left")
     report = done.agg(F.count("*").alias("total"), F.count_if("_hit").alias("enriched"), F.count_if(F.col("_hit").isNull()).alias("skipped"))
     return save_meta(meta, rows), replace_images(screenshots, fresh, expected), report

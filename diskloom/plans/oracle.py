@@ -152,7 +152,9 @@ ORACLE: dict[str, str] = {
     "uid_assign": f"WITH {M} SELECT sha1, uid FROM m",
     "exact_dedup": """SELECT sha1(text) AS sha1, min(doc_id) AS first_id, arg_min(coalesce(title, ''), doc_id) AS filename, first(source ORDER BY doc_id) AS source FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "container_detect": "SELECT DISTINCT record_id, CASE WHEN e IN ('adf', 'adz', 'dms', 'zip') THEN e WHEN record_id % 4 = 0 THEN 'zip' WHEN record_id % 4 = 1 THEN 'dms' END AS container FROM (SELECT record_id, lower(regexp_extract(orig_filename, '\\.([^.]*)$', 1)) AS e FROM artifact WHERE orig_filename IS NOT NULL)",
-    "decode_zip": f"SELECT l_orderkey * 10 + l_linenumber AS ingest_seq, 'disks/' || {NAME} AS name, 'zip' AS container, sha1({CONTENT}) AS sha1 FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "decode_zip": f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 'disks/' || {NAME} AS name, {CONTENT} AS content, (l_orderkey * 10 + l_linenumber) % 7 = 0 AS cut FROM lineitem JOIN part ON l_partkey = p_partkey)
+        SELECT seq AS ingest_seq, name, 'zip' AS container, sha1(content) AS sha1, FALSE AS failed FROM x WHERE NOT cut UNION ALL SELECT seq, left(name, length(name) - 4) || '.adz', 'zip', sha1(content || '+'), FALSE FROM x WHERE NOT cut
+        UNION ALL SELECT seq, name || '.zip', 'zip', NULL, TRUE FROM x WHERE cut""",
     "list_parse": "SELECT source, name, lower(sha1) AS sha1, lower(crc32) AS crc32, lower(md5) AS md5, try_cast(nullif(regexp_extract(name, '(?i)\\(disk ([0-9]+) of ([0-9]+)\\)', 1), '') AS BIGINT) AS disk_no, try_cast(nullif(regexp_extract(name, '(?i)\\(disk ([0-9]+) of ([0-9]+)\\)', 2), '') AS BIGINT) AS disk_count FROM dat_entry",
     "hash_match_priority": f"""WITH i AS (SELECT DISTINCT substr(sha1({CONTENT}), 1, 10) AS uid, sha1({CONTENT}) AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey),
         d AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 268435456 + CAST('0x' || substr(md5({CONTENT}), 1, 7) AS BIGINT) AS dat_id, CASE WHEN l_linenumber % 3 > 0 THEN sha1({CONTENT}) END AS sha1, md5({CONTENT}) AS md5 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0),

@@ -185,9 +185,9 @@ def container_detect(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def decode_zip(spark: SparkSession, folder: str) -> DataFrame:
-    """Every upload packed into an archive with a folder, then decoded again."""
-    packed = containers.zip_each(bridge.uploads(spark, folder).withColumn("filename", F.concat(F.lit("disks/"), "filename")))
-    return containers.decode(packed).select("ingest_seq", "name", "container", F.sha1("content").alias("sha1"))
+    """Every upload packed into an archive with a folder, plain and gzipped, some archives cut short; then decoded again."""
+    packed = containers.zip_each(bridge.uploads(spark, folder).withColumn("filename", F.concat(F.lit("disks/"), "filename")), broken=7)
+    return containers.decode(packed).select("ingest_seq", "name", "container", F.sha1("content").alias("sha1"), F.col("error").isNotNull().alias("failed"))
 
 
 @query

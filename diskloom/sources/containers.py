@@ -107,16 +107,21 @@ def zip_export(files: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return files.select(*keys, "canonical", "content").groupBy(*keys).applyInPandas(pack, f"{kinds}, archive binary")
 
 
-def zip_each(files: DataFrame) -> DataFrame:
-    """Every file (``ingest_seq``, ``filename``, ``content``) as an archive of its own, of the same columns."""
+def zip_each(files: DataFrame, broken: int = 0) -> DataFrame:
+    """Every file (``ingest_seq``, ``filename``, ``content``) as an archive of its own, of the same columns: the file, the same gzipped beside it, and a text.
+
+    With ``broken`` the archives whose number it divides are cut short.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for name, data in zip(frame["filename"], frame["content"], strict=True):
+            for seq, name, data in zip(frame["ingest_seq"], frame["filename"], frame["content"], strict=True):
                 buffer = io.BytesIO()
                 with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
-                    z.writestr(zipfile.ZipInfo(name), bytes(data))
-                out.append(buffer.getvalue())
+                    for entry, packed in ((name, bytes(data)), (name[:-4] + ".adz", gzip.compress(bytes(data) + b"+")), ("readme.txt", b"no image")):
+                        z.writestr(zipfile.ZipInfo(entry), packed)
+                whole = buffer.getvalue()
+                out.append(whole[:40] if broken and seq % broken == 0 else whole)
             yield pd.DataFrame({"ingest_seq": frame["ingest_seq"], "filename": frame["filename"] + ".zip", "content": out})
 
     return files.select("ingest_seq", "filename", "content").mapInPandas(run, "ingest_seq long, filename string, content binary")

@@ -111,3 +111,15 @@ def scan_pages(pages: DataFrame, key: str = "url", html: str = "html") -> DataFr
             yield pd.DataFrame({key: frame["k"], "title": frame["title"], "description": [f[0] for f in found], "genre": [f[1] for f in found], "cover": [f[2] for f in found], "shots": [f[3] for f in found]})
 
     return pages.select(F.col(key).alias("k"), F.col(html).alias("html"), page_title(F.col(html)).alias("title")).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
+
+
+def fetched(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """``wanted`` (``url``, ...) with ``html`` and ``error`` from a table of fetched pages (``url``, ``status``, ``html``).
+
+    A page that isn't there (404, or no row) has neither; any other status than
+    2xx is an error. Of several rows of a URL a good one counts.
+    """
+    good = F.col("status").between(200, 299)
+    one = pages.groupBy("url").agg(F.max_by("html", F.when(good, F.col("status"))).alias("html"), F.min("status").alias("_status"), F.max(good).alias("_good"))
+    error = F.when(~F.col("_good") & (F.col("_status") != 404), F.concat(F.lit("status "), F.col("_status").cast("string")))
+    return wanted.join(one.select("url", F.when(F.col("_good"), F.col("html")).alias("html"), error.alias("error")), "url", "left")

@@ -128,6 +128,7 @@ def test_enrichment_run(spark):
     images = spark.createDataFrame([("c1", b"\xff\xd8\xff1", None), ("s1", None, None), ("s2", b"GIF8", "text/html")], "url string, content binary, header string")
     old = spark.createDataFrame([(1, "old", "m", None, "x", 0, "screenshot"), (2, "old", "m", None, "x", 0, "cover"), (3, "old", "m", None, "x", 0, "cover")], "title_id long, blob_sha1 string, mime string, caption string, source string, ord long, kind string")
     meta = spark.createDataFrame([(3, "kept", None, None, None, None, None, 5)], "title_id long, genre string, description string, year int, sources string, external_url string, match_score double, fetched_at long")
+    assert enrich.run(titles, [enrich.PageProvider("site", 1, site)], images, meta, old)[0].agg(F.max("fetched_at")).first()[0] > 1_700_000_000
     found, shots, report = enrich.run(titles, [enrich.PageProvider("site", 1, site)], images, meta, old, 99)
     assert tuple(report.first()) == (3, 2, 1)
     assert {(r.title_id, r.fetched_at, r.description is not None) for r in found.collect()} == {(1, 99, True), (2, 99, False), (3, 5, False)}
@@ -211,6 +212,12 @@ def test_pages(spark):
     assert p["b"].title is None and p["b"].shots == [] and p["c"].title == "Only"
 
 
+def test_fetched_pages(spark):
+    rows = spark.createDataFrame([("a", 200, "x"), ("b", 404, None), ("c", 500, "oops"), ("d", 503, None), ("d", 200, "late")], "url string, status int, html string")
+    got = {r.url: (r.html, r.error) for r in pages.fetched(spark.createDataFrame([(u,) for u in "abcde"], "url string"), rows).collect()}
+    assert got == {"a": ("x", None), "b": (None, None), "c": (None, "status 500"), "d": ("late", None), "e": (None, None)}
+
+
 def test_browse_like_is_literal_about_backslashes(spark):
     rows = spark.createDataFrame([("A\\B",), ("ÄRA",), ("Garden",), ("10% off",)], "n string")
     hits = lambda q: [r.n for r in rows.where(browse.like_title(F.col("n"), q)).collect()]
