@@ -37,6 +37,18 @@ def test_p1_common_sequences_make_candidates(spark):
     assert {(r.work, r.page) for r in linkage.scored(works, pages).collect()} == {(k, 1) for k in range(1, 61)}
 
 
+def test_p1_of_equal_works_the_least_id(spark):
+    works = spark.createDataFrame([(k, "Dadutsidzop", 1988, "game") for k in range(7, 60)] + [(k, f"Kelvarmonit {k}", 1990, "tool") for k in range(60, 70)], WORKS)
+    pages = spark.createDataFrame([(k, "Dadutsidzop", 1988, None, "game from X.", 0.9) for k in range(5)] + [(k, f"Kelvarmonit {k}", 1990, None, None, 0.9) for k in range(60, 70)], PAGES)
+    assert {(r.page, r.work) for r in linkage.ties(works, pages).collect()} == {(k, 7) for k in range(5)} | {(k, k) for k in range(60, 70)}
+
+
+def test_p1_site_endings_are_learnt(spark):
+    pages = spark.createDataFrame([(k, f"Work{k} - full info", 1990, None, None, None) for k in range(20)] + [(k, f"Work{k} - The Last Signal", 1990, None, None, None) for k in range(20, 40)] + [(k, f"Work{k} - 2", 1990, None, None, None) for k in range(40, 60)], PAGES)
+    works = spark.createDataFrame([(1, "Work20: The Last Signal", 1990, "game")], WORKS)
+    assert linkage.site_tails(works, pages) == ["full info"] and linkage.page_name("Work1 - Full Info", ["full info"]) == "Work1"
+
+
 def test_p1_names_without_vowels_are_compared(spark):
     works = spark.createDataFrame([(1, "Dadduztidzop", 1988, "game"), (2, "Kelvarmonit", 1988, "game")], WORKS)
     pages = spark.createDataFrame([(1, "DDDZTDZP", 1988, None, None, 0.81), (2, "Kelvarmonit", 1988, None, None, 0.81)], PAGES)
