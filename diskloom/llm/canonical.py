@@ -236,7 +236,7 @@ def map_names(typed: DataFrame, entries: DataFrame, uid: str = "uid", name: str
     ``broadcast_rows`` rows take shuffle joins.
     """
     reference = ReferenceList(entries, entry_key, entry_name, broadcast_rows)
-    pairs = typed.where(F.col(uid).isNotNull()).select(F.col(uid).alias("uid"), F.col(name).alias("name")).distinct()
+    pairs = durable(typed.where(F.col(uid).isNotNull()).select(F.col(uid).alias("uid"), F.col(name).alias("name")).distinct())
 
     def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
