@@ -32,22 +32,32 @@ def images_of(uploads: DataFrame, raw: bool = False) -> tuple[DataFrame, DataFra
     return narrow.where(F.col("error").isNull()).drop("error"), narrow.where(F.col("error").isNotNull()).select("ingest_seq", "filename", "error")
 
 
+def known_flags(artifact: DataFrame) -> DataFrame:
+    """``artifact`` with unknown flags false and unknown counts 0."""
+    return artifact.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("bad", "virus", "over", "under", "verified_good")} | {c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in ("alt_index", "modifications")})
+
+
 def stored_members(title: DataFrame, edition: DataFrame, artifact: DataFrame) -> DataFrame:
     """Artifacts with the identity of their edition, as the operators on sets take them; unknown flags are false, unknown counts 0."""
     known = edition.select(F.col("id").alias("edition_id"), *maintain.KEY).join(title.select(F.col("id").alias("title_id"), F.col("name").alias("title"), "category"), "title_id")
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("bad", "virus", "over", "under", "verified_good")} | {c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for c in ("alt_index", "modifications")}
-    return artifact.withColumns(flags).join(known, "edition_id")
+    return known_flags(artifact).join(known, "edition_id")
 
 
-def primaries_of(title: DataFrame, edition: DataFrame, artifact: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+def primaries_of(edition: DataFrame, artifact: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """``edition_id``, ``uid``: the primary of every edition with artifacts (null if none is sound) in the sets of the ``touched`` editions (``edition_id``), or in all."""
+    keys = tuple(k for k in maintain.KEY if k != "disk_no")
+    numbered = edition.groupBy(*keys).agg(F.min("id").alias("set"))
     if touched is not None:
-        keys = [k for k in maintain.KEY if k != "disk_no"]
         hit = edition.join(touched.select(F.col("edition_id").alias("id")).distinct(), "id", "left_semi").select(*keys).distinct()
-        edition = edition.alias("e").join(hit.alias("h"), maintain.null_safe("e", "h", tuple(keys)), "left_semi")
-    members = durable(stored_members(title, edition, artifact).select(*sets.EDITION, "edition_id", "uid", "trainer", "dump_type", "lineage", "bad", "virus", "over", "under", "verified_good", "alt_index", "modifications"))
-    ids = members.select(*sets.EDITION, "edition_id").distinct()
-    return sets.coherent_primaries(members).alias("p").join(ids.alias("i"), sets.same_set("p", "i", sets.EDITION)).select("i.edition_id", F.col("p.primary_uid").alias("uid"))
+        numbered = numbered.alias("n").join(hit.alias("h"), maintain.null_safe("n", "h", keys), "left_semi")
+    numbered = durable(edition.alias("e").join(numbered.alias("n"), maintain.null_safe("e", "n", keys)).select(F.col("e.id").alias("edition_id"), "n.set", "e.disk_no", "e.disk_count"))
+    # A set's number stands for its key, so members are grouped and joined on numbers.
+    blank = F.lit(None).cast("string")
+    members = known_flags(artifact).join(numbered, "edition_id").select(
+        F.col("set").alias("title"), *(blank.alias(k) for k in sets.SET if k not in ("title", "disk_count")), "disk_no", "disk_count", "uid", "trainer", "dump_type", "lineage", "bad", "virus", "over", "under", "verified_good", "alt_index", "modifications",
+    )
+    chosen = sets.coherent_primaries(durable(members)).select(F.col("title").alias("set"), "disk_no", "primary_uid")
+    return numbered.alias("n").join(chosen.alias("c"), (F.col("n.set") == F.col("c.set")) & F.col("n.disk_no").eqNullSafe(F.col("c.disk_no"))).select("n.edition_id", F.col("c.primary_uid").alias("uid"))
 
 
 def ingest(catalog: dict[str, DataFrame], uploads: DataFrame, entries: DataFrame | None = None, raw: bool = False) -> dict[str, DataFrame]:
@@ -89,7 +99,7 @@ def ingest(catalog: dict[str, DataFrame], uploads: DataFrame, entries: DataFrame
     )
     return {
         "title": new_titles, "edition": new_editions, "artifact": stored, "quarantine": stored.where(F.col("edition_id").isNull()).select(F.col("uid").alias("artifact_uid"), F.lit(REASON).alias("reason")),
-        "primary": durable(primaries_of(titles, editions, every, stored.where(F.col("edition_id").isNotNull()).select("edition_id"))), "outcome": outcome, "error": failed,
+        "primary": durable(primaries_of(editions, every, stored.where(F.col("edition_id").isNotNull()).select("edition_id"))), "outcome": outcome, "error": failed,
     }
 
 
@@ -120,6 +130,6 @@ def resolve(catalog: dict[str, DataFrame], resolutions: DataFrame) -> dict[str,
     to = keyed.alias("k").join(editions.alias("e"), maintain.null_safe("k", "e", maintain.KEY)).select("k.uid", F.col("e.id").alias("_edition"), F.col("k.display_title").alias("_shown"))
     moved = artifact.join(to, "uid", "left").withColumns({"edition_id": F.coalesce("_edition", "edition_id"), "display_title": F.coalesce("_shown", "display_title")}).drop("_edition", "_shown")
     out = catalog | {"title": titles, "edition": editions, "artifact": durable(moved), "quarantine": left}
-    fresh = primaries_of(titles, editions, out["artifact"], to.select(F.col("_edition").alias("edition_id")))
+    fresh = primaries_of(editions, out["artifact"], to.select(F.col("_edition").alias("edition_id")))
     none = {n: out[n].limit(0) for n in ("title", "edition", "artifact", "quarantine")}
     return add(out, none | {"primary": fresh})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flags, naming
+from ..session import durable
 
 SET = ("title", "category", "version", "language", "publisher", "qualifier", "disk_count")
 EDITION = (*SET, "disk_no")
@@ -85,9 +86,9 @@ def coherent_primaries(artifacts: DataFrame) -> DataFrame:
     return own.alias("o").join(picks.alias("p"), same_set("o", "p", EDITION), "left").select("o.*", "p.uid").select(*EDITION, F.coalesce("uid", "primary_uid").alias("primary_uid"))
 
 
-def resolved_sets(artifacts: DataFrame) -> DataFrame:
+def resolved_sets(artifacts: DataFrame, disks: DataFrame | None = None) -> DataFrame:
     """Files of every lineage of a set as ``disk:uid`` in disk order."""
-    return best_per_disk(artifacts).groupBy(*SET, "tag").agg(F.array_sort(F.collect_list(F.struct("disk", "uid"))).alias("_f")).select(*SET, "tag", F.array_join(F.transform("_f", lambda f: F.concat_ws(":", f["disk"].cast("string"), f["uid"])), ",").alias("files"))
+    return (best_per_disk(artifacts) if disks is None else disks).groupBy(*SET, "tag").agg(F.array_sort(F.collect_list(F.struct("disk", "uid"))).alias("_f")).select(*SET, "tag", F.array_join(F.transform("_f", lambda f: F.concat_ws(":", f["disk"].cast("string"), f["uid"])), ",").alias("files"))
 
 
 def missing_disks(coverage: DataFrame) -> DataFrame:
@@ -104,10 +105,13 @@ def runs_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, one), ",")
 
 
-def trainer_options(artifacts: DataFrame) -> DataFrame:
-    """Choices of trainer on the boot disk of complete lineages: best dump per trainer (none is one), where there are two or more."""
-    complete = lineage_coverage(artifacts).where("complete").select(*SET, "tag")
-    disks = best_per_disk(artifacts)
+def trainer_options(artifacts: DataFrame, coverage: DataFrame | None = None, disks: DataFrame | None = None) -> DataFrame:
+    """Choices of trainer on the boot disk of complete lineages: best dump per trainer (none is one), where there are two or more.
+
+    ``coverage`` and ``disks`` are what lineage_coverage and best_per_disk give, where they are known.
+    """
+    complete = (lineage_coverage(artifacts) if coverage is None else coverage).where("complete").select(*SET, "tag")
+    disks = best_per_disk(artifacts) if disks is None else disks
     boot = disks.groupBy(*SET, "tag").agg(F.min_by(F.struct(F.col("disk").alias("boot_disk"), F.col("uid").alias("default_uid")), "disk").alias("_b")).select(*SET, "tag", "_b.*")
     boot = boot.alias("b").join(complete.alias("c"), same_set("b", "c", (*SET, "tag"))).select("b.*")
     members = _members(artifacts, 1).where(sound()).alias("m").join(boot.alias("b"), same_set("m", "b", (*SET, "tag")) & (F.col("m.disk") == F.col("b.boot_disk"))).select("m.*", "b.boot_disk", "b.default_uid")
@@ -118,9 +122,11 @@ def trainer_options(artifacts: DataFrame) -> DataFrame:
 
 def playable_sets(artifacts: DataFrame) -> DataFrame:
     """Every lineage of a set as a download: kind, trainer, completeness, missing disks, files of complete ones, trainer choices."""
-    rows = missing_disks(lineage_coverage(artifacts))
-    files = resolved_sets(artifacts)
-    options = trainer_options(artifacts).groupBy(*SET, "tag").agg(F.array_sort(F.collect_list(F.struct("trainer", "uid", "is_default"))).alias("_o"))
+    # One row per lineage and one per disk of it, each used several times.
+    coverage, disks = durable(lineage_coverage(artifacts)), durable(best_per_disk(artifacts))
+    rows = missing_disks(coverage)
+    files = resolved_sets(artifacts, disks)
+    options = trainer_options(artifacts, coverage, disks).groupBy(*SET, "tag").agg(F.array_sort(F.collect_list(F.struct("trainer", "uid", "is_default"))).alias("_o"))
     options = options.select(*SET, "tag", F.array_join(F.transform("_o", lambda o: F.concat(F.coalesce(o["trainer"], F.lit("-")), F.lit("="), o["uid"], F.when(o["is_default"], "*").otherwise(""))), ",").alias("options"))
     joined = rows.alias("r").join(files.alias("f"), same_set("r", "f", (*SET, "tag")), "left").join(options.alias("o"), same_set("r", "o", (*SET, "tag")), "left")
     return joined.select(

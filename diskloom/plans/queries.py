@@ -35,9 +35,13 @@ def artifacts(spark: SparkSession, folder: str, verified: bool = False) -> DataF
     ``identify_uploads`` do the whole way each time.
     """
     source = f"{folder}/lineitem.parquet"
-    path = spark._jvm.org.apache.hadoop.fs.Path(source)
-    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    key = (spark.sparkContext.applicationId, folder, changed, verified)
+    at = lambda p: (p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
+    fs, path = at(spark._jvm.org.apache.hadoop.fs.Path(source))
+    key = (spark.sparkContext.applicationId, folder, fs.getFileStatus(path).getModificationTime(), verified)
+    if key in _SNAPSHOTS:
+        fs, path = at(spark._jvm.org.apache.hadoop.fs.Path(f"{_SNAPSHOTS[key]}/_SUCCESS"))
+        if not fs.exists(path):
+            del _SNAPSHOTS[key]
     if key not in _SNAPSHOTS:
         target = f"{checkpoint_folder(spark)}/artifact-{len(_SNAPSHOTS)}-{uuid4().hex}"
         identified_uploads(spark, folder, verified).write.parquet(target)
