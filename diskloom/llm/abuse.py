@@ -13,6 +13,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -50,6 +51,7 @@ _REPEAT = re.compile(r"(.)\1+")
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(maxsize=1 << 18)
 def plain(word: str) -> str:
     """A word in its undisguised form: look-alikes mapped, digits within letters read as letters, repeated letters once; masked letters become *, numbers #."""
     if word.isdigit():
@@ -74,7 +76,7 @@ def sentences(text: str | None) -> list[tuple[str, list[str]]]:
     text = _INNER.sub("", text)
     out = []
     for part in _SENTENCE.split(text):
-        found = [plain(w) for w in _WORD.findall(part)]
+        found = list(map(plain, _WORD.findall(part)))
         if found:
             out.append((part.strip(), found))
     return out
