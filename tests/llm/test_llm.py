@@ -43,6 +43,17 @@ def test_p1_of_equal_works_the_least_id(spark):
     assert {(r.page, r.work) for r in linkage.ties(works, pages).collect()} == {(k, 7) for k in range(5)} | {(k, k) for k in range(60, 70)}
 
 
+def test_p1_copies_of_a_page_are_paired_once(spark, monkeypatch):
+    works = spark.createDataFrame([(k, f"Kelvarmonit {k}", 1990, "tool") for k in range(1, 9)], WORKS)
+    pages = [(k, f"Kelvarmonit {k}", 1990, None, None, 0.9) for k in range(1, 9)]
+    met = []
+    whole = linkage.voted
+    monkeypatch.setattr(linkage, "voted", lambda w, p, *every: met.append(p.count()) or whole(w, p, *every))
+    monkeypatch.setattr(linkage, "HOT_PAIRS", 3)
+    found = linkage.ties(works, spark.createDataFrame(pages + [(k + 100 * c, *rest) for k, *rest in pages for c in (1, 2, 3)], PAGES))
+    assert {(r.page, r.work) for r in found.collect()} == {(k + 100 * c, k) for k in range(1, 9) for c in range(4)} and met == [8]
+
+
 def test_p1_site_endings_are_learnt(spark):
     pages = spark.createDataFrame([(k, f"Work{k} - full info", 1990, None, None, None) for k in range(20)] + [(k, f"Work{k} - The Last Signal", 1990, None, None, None) for k in range(20, 40)] + [(k, f"Work{k} - 2", 1990, None, None, None) for k in range(40, 60)], PAGES)
     works = spark.createDataFrame([(1, "Work20: The Last Signal", 1990, "game")], WORKS)
