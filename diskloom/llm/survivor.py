@@ -1,10 +1,8 @@
 """Best record of each group: a consensus of its values, then the best dump of each edition.
 
-Fields are settled by the weighted token vote of ``consensus``. The stated result
-weighs records by arrival, so that each outweighs all earlier ones together. A
-flag or a number is one token: its alignment has one column, whose heaviest
-token is the value with the greatest arrival key, one ``max_by`` in the hash
-aggregate. Texts of several tokens are aligned.
+All eight fields are settled by the weighted token vote of ``consensus``, flags
+and numbers as texts. The stated result weighs records by arrival, so that each
+outweighs all earlier ones together.
 """
 
 from __future__ import annotations
@@ -21,39 +19,24 @@ COUNTS = ("modifications", "alt_index")
 def arrival_key(at: Column, row_id: Column) -> Column:
     """(at, row_id) packed into one number that orders alike, null times and ids first.
 
-    A decimal lives in a fixed-width aggregation buffer, so the latest value per
-    field stays in the hash aggregate; a struct key would force a sort.
+    A decimal lives in a fixed-width aggregation buffer, so the heaviest record of
+    each value stays in the hash aggregate; a struct key would force a sort.
     """
     micros = F.coalesce(F.unix_micros(F.to_timestamp(at)), F.lit(-(1 << 61))).cast("decimal(20,0)")
     return (micros * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.coalesce(row_id, F.lit(-1)).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
-def latest_values(rows: DataFrame, group: str, fields: tuple[str, ...], at: str = "recorded_at", row_id: str = "record_id",
-                  carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per ``group``: each field's latest non-null value, and a value of every ``carry`` column (equal within a group).
-
-    Null times come first, ties fall to the greater ``row_id``, exact repeats
-    change nothing. A field that is null in all rows stays null. Rows with a
-    null group are left out.
-    """
-    key = arrival_key(F.col(at), F.col(row_id))
-    known = rows.where(F.col(group).isNotNull()).select(group, key.alias("_key"), *fields, *carry)
-    return known.groupBy(group).agg(
-        *(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("_key"))).alias(f) for f in fields),
-        *(F.max(c).alias(c) for c in carry),
-    )
-
-
 def consolidated(rows: DataFrame) -> DataFrame:
-    """The record of each uid: flags default to false, counts to 0, trainer to null."""
+    """The record of each uid: flags default to false, counts to 0, trainer to null. Each field is settled by the consensus, its values as texts."""
     rows = rows.where(F.col("uid").isNotNull())
-    latest = latest_values(rows, "uid", (*FLAGS, *COUNTS), carry=("edition_id",))
     # Arrival keys are made positive weights; records that arrive later outweigh all before.
     arrival = arrival_key(F.col("recorded_at"), F.col("record_id")) + F.lit(str(1 << 125)).cast("decimal(38,0)")
-    trainer = consensus.consensus(rows, "uid", ("trainer",), arrival, latest=True).select("uid", F.col("value").alias("trainer"))
-    return latest.join(trainer, "uid", "left").select(
+    fields = (*FLAGS, *COUNTS, "trainer")
+    voted = consensus.consensus(rows.withColumns({f: F.col(f).cast("string") for f in (*FLAGS, *COUNTS)}), "uid", fields, arrival, latest=True)
+    settled = voted.groupBy("uid").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields))
+    return rows.groupBy("uid").agg(F.max("edition_id").alias("edition_id")).join(settled, "uid", "left").select(
         "uid", "edition_id",
-        *(F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS),
+        *(F.coalesce(F.col(f).cast("boolean"), F.lit(False)).alias(f) for f in FLAGS),
         *(F.coalesce(F.col(f).cast("long"), F.lit(0)).alias(f) for f in COUNTS),
         "trainer",
     )
@@ -79,13 +62,10 @@ def edition_primaries(rows: DataFrame) -> DataFrame:
     Dumps rank by clean first, then fewest modifications, no trainer, lowest
     alternate, uid. Editions without a sound dump have no row.
     """
-    # A trainer that is null in some record but not in all counts as present, so its presence is one maximum.
-    latest = latest_values(rows.withColumn("_trained", F.col("trainer").isNotNull()), "uid", (*FLAGS, *COUNTS), carry=("edition_id", "_trained"))
-    flag = lambda f: F.coalesce(F.col(f), F.lit(False))
-    count = lambda f: F.coalesce(F.col(f).cast("long"), F.lit(0))
-    unclean = ~(flag("verified_good") | (count("modifications") == 0))
+    records = consolidated(rows)
+    unclean = ~(F.col("verified_good") | (F.col("modifications") == 0))
     return (
-        latest.where(F.col("edition_id").isNotNull() & ~(flag("bad") | flag("virus") | flag("over") | flag("under")))
+        records.where(F.col("edition_id").isNotNull() & ~(F.col("bad") | F.col("virus") | F.col("over") | F.col("under")))
         .groupBy("edition_id")
-        .agg(F.min_by("uid", F.struct(unclean.alias("unclean"), count("modifications").alias("mods"), F.col("_trained").alias("trained"), count("alt_index").alias("alt"), F.col("uid"))).alias("primary_uid"))
+        .agg(F.min_by("uid", F.struct(unclean.alias("unclean"), F.col("modifications").alias("mods"), F.col("trainer").isNotNull().alias("trained"), F.col("alt_index").alias("alt"), F.col("uid"))).alias("primary_uid"))
     )

@@ -366,3 +366,16 @@ def test_p8_tables(spark):
     assert rates["b"].documents == 3 and rates["b"].abusive == 0 and sum(r.abusive for r in rates.values()) == len(found)
     assert {r.doc_id for r in abuse.scores(docs, abuse.train(docs, labels)).where("worst_sentence IS NULL").collect()} == {1000, 1001}
     assert abuse.cases(docs, labels.limit(0)).isEmpty() and abuse.cases(docs.limit(0), labels).isEmpty()
+
+
+def test_p5_primaries_come_through_the_consensus(spark, monkeypatch):
+    """All eight fields of the records behind the primaries are voted on, negative numbers and empty trainers too."""
+    asked = []
+    vote = survivor.consensus.consensus
+    monkeypatch.setattr(survivor.consensus, "consensus", lambda rows, group, fields, *a, **k: asked.append(fields) or vote(rows, group, fields, *a, **k))
+    kind = "record_id long, uid string, edition_id long, verified_good boolean, modifications long, alt_index long, trainer string, bad boolean, virus boolean, over boolean, under boolean, recorded_at timestamp"
+    rows = spark.createDataFrame([(1, "a", 1, True, 3, 1, "DC", True, None, None, None, None), (2, "a", 1, None, -1, None, "", False, None, None, None, None), (3, "b", 1, False, 2, 0, None, None, None, None, None, None), (4, "c", 2, None, None, None, None, True, None, None, None, None)], kind)
+    assert [tuple(r) for r in survivor.edition_primaries(rows).collect()] == [(1, "a")]
+    assert [set(f) for f in asked] == [{*survivor.FLAGS, *survivor.COUNTS, "trainer"}]
+    a = survivor.consolidated(rows).where("uid = 'a'").first()
+    assert (a.verified_good, a.bad, a.modifications, a.alt_index, a.trainer) == (True, False, -1, 1, "")
