@@ -229,7 +229,7 @@ def identify_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return identified_uploads(spark, folder, verified=True).select("uid", *sets.EDITION, "year", "verified")
 
 
-def batches(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], list[dict[str, DataFrame]]]:
+def batches(spark: SparkSession, folder: str, primaries: bool = True) -> tuple[dict[str, DataFrame], list[dict[str, DataFrame]]]:
     """The catalog after two batches of the bridge's uploads, and what each batch changed.
 
     Every 50th part's uploads have names that don't parse. The first batch holds
@@ -243,7 +243,7 @@ def batches(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], lis
     catalog = {name: ingest.empty(spark, name) for name in ("title", "edition", "artifact", "quarantine")}
     done = []
     for uploads, known in ((first, None), (second.unionByName(again), durable(entries))):
-        done.append(ingest.ingest(catalog, uploads.drop("order"), known, raw=True))
+        done.append(ingest.ingest(catalog, uploads.drop("order"), known, raw=True, primaries=primaries))
         catalog = ingest.add(catalog, done[-1])
     return catalog, done
 
@@ -267,8 +267,8 @@ def ingest_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ingest_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Title and edition ids: dense, in order of arrival over both batches."""
-    catalog, _ = batches(spark, folder)
+    """Title and edition ids: dense, in order of arrival over both batches. No id depends on a primary, so none is chosen."""
+    catalog, _ = batches(spark, folder, primaries=False)
     titles = catalog["title"].select(F.col("id").alias("title_id"), F.col("name").alias("title"), "category")
     return catalog["edition"].join(titles, "title_id").select("id", "title_id", *sets.EDITION)
 

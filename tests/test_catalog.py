@@ -313,3 +313,13 @@ def test_similar_pairs_are_those_of_all_pairs(spark, monkeypatch):
 def test_blocks_are_dealt(spark):
     left, right = (spark.createDataFrame([(k % 3, k) for k in range(60)], f"key int, {c} int") for c in "ab")
     assert sorted(map(tuple, skew.join_blocks(left, right, "key", 7).collect())) == sorted(map(tuple, left.join(right, "key").collect()))
+
+
+def test_ids_need_no_primaries(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("primaries were chosen")
+
+    monkeypatch.setattr(batch, "primaries_of", refused)
+    uploads = spark.createDataFrame([(k, f"Game {k % 2} (1990)(Pub).adf", str(k).encode()) for k in range(4)], "ingest_seq long, filename string, content binary")
+    done = batch.ingest({n: batch.empty(spark, n) for n in ("title", "edition", "artifact", "quarantine")}, uploads, raw=True, primaries=False)
+    assert {(r.id, r.name) for r in done["title"].collect()} == {(1, "Game 0"), (2, "Game 1")} and done["primary"].isEmpty() and done["edition"].count() == 2
