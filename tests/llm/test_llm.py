@@ -1,10 +1,12 @@
 import base64
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from diskloom.llm import abuse, canonical, formatting, leakage, linkage, names, survivor, tokens, variants
+from diskloom.llm import abuse, bounds, canonical, formatting, leakage, linkage, names, survivor, tokens, variants
 
 
 # 1: works and pages
@@ -164,6 +166,49 @@ def test_p3_hot_blocks_are_dealt_alike(spark):
     assert got(4) == got(2_000) and got(4)
 
 
+def test_p3_bounds_leave_out_no_alike_pair():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgjklmnprstvwx") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5)))
+    spoil = lambda w: rng.choice((w, w[1:], w[:-1] + "x", w[:2] + w[3:], w[:1], names.consonants(w) or w, w[::-1], w[:3] + "q" + w[3:]))
+    cores = ["margaret kixas", "pegi kixas", "m kixas", "a b", "\u0142adna", "x" * 70, "x" * 69 + "y", "dadupalokitenumorasi " + "fa", "dadupalokitenumoras " + "fe"]
+    for _ in range(60):
+        tokens = [word() for _ in range(rng.randrange(1, 4))]
+        cores += [" ".join(rng.sample(kin, len(kin))) for _ in range(6) if (kin := [t for t in map(spoil, tokens) if t])]
+    held = bounds.Cores(cores)
+    starts = np.arange(len(cores)) == 0
+    alike = 0
+    for a, b in bounds.pairs_of(starts, np.ones(len(cores), bool), 5_000):
+        near = held.may_reach(a, b, 0.8)
+        for i, j, left_in in zip(a.tolist(), b.tolist(), near.tolist(), strict=True):
+            if names.core_ratio(cores[i].split(), cores[j].split()) >= 0.8:
+                alike += 1
+                assert left_in, (cores[i], cores[j])
+    assert alike > 300
+
+
+def test_p3_few_pairs_of_a_large_block_are_compared(spark):
+    rng = random.Random(4)
+    cores = sorted({"".join(rng.choice("bdfgjklmnprstvw") + rng.choice("aeiou") + rng.choice("dgklmnrst") for _ in range(3)) + "losped" for _ in range(3_000)})
+    held, mine = bounds.Cores(cores), np.ones(len(cores), bool)
+    sizes = [(len(a), held.may_reach(a, b, 0.8).sum()) for a, b in bounds.pairs_of(~np.arange(len(cores)).astype(bool), mine)]
+    assert sum(n for n, _ in sizes) == len(cores) * (len(cores) - 1) // 2
+    assert sum(n for _, n in sizes) < 0.05 * sum(n for n, _ in sizes)
+
+
+def test_p3_blocks_over_several_frames():
+    rows = pd.DataFrame([("f", f"k{k}", 0, f"n{n}") for k, size in enumerate((1, 7, 2, 12, 1)) for n in range(size)], columns=["field", "key", "share", "name"])
+    for size in (1, 2, 3, 5, 40):
+        got = list(variants.whole_blocks(iter([rows[k:k + size] for k in range(0, len(rows), size)])))
+        assert pd.concat(got, ignore_index=True).equals(rows)
+        assert sum(f.key.nunique() for f in got) == 5
+
+
+def test_p3_large_classes_are_dealt_alike(spark):
+    members = spark.createDataFrame([("f", f"n{k}", f"n{k % 3}") for k in range(40)] + [("f", "z", "z")], "field string, name string, class string")
+    got = lambda hot: sorted(map(tuple, variants.pairs_within(members, hot).collect()))
+    assert got(4) == got(2_000) and len(got(4)) == 247
+
+
 def test_numbers_of_a_series():
     number = lambda s: names.parse(s, True).number
     assert [number(s) for s in ("Orbit II", "Orbit Two", "Orbit: Seven Keys", "Orbit Seven Keys", "Orbit 3: Seven Doors", "Orbit IV - Night of Embers", "Orbit: Night of Embers", "Orbit Thre", "Orbit part five: A New Dawn", "Orbit")] == [2, 2, 1, 1, 3, 4, 1, 3, 5, 1]
