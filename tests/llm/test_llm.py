@@ -56,6 +56,63 @@ def test_p1_copies_of_a_page_are_paired_once(spark, monkeypatch):
     assert {(r.page, r.work) for r in found.collect()} == {(k + 100 * c, k) for k in range(1, 9) for c in range(4)} and met == [8]
 
 
+def test_p1_rows_are_dealt_once_to_tiles_and_pairs_stay_there(spark, monkeypatch):
+    rnd = random.Random(1)
+    syllables = ["dad", "dut", "sid", "zop", "kel", "var", "mon", "nit", "b", "a"]
+    name = lambda: " ".join("".join(rnd.choices(syllables, k=rnd.randint(1, 4))).title() for _ in range(rnd.randint(1, 3))) + rnd.choice(["", "", " II", " - 3"])
+    works = [(k, name(), rnd.choice([None, 1990, 1991, 1993]), rnd.choice([None, "game", "tool"])) for k in range(70)] + [(70, "É", 1990, "game"), (71, "Kelvarmon " + "of the Silent Orbit Garden " * 9, 1990, "game")]
+    pages = [(k, name(), rnd.choice([None, 1990, 1992]), None, rnd.choice([None, "A tool by X."]), rnd.choice([None, 0.2, 0.6, 0.9])) for k in range(90)] + [(90 + k, w[1] + "!", w[2], None, None, 0.9) for k, w in enumerate(works)] + [(99, "...", None, None, None, None)]
+    pages = list({p[0]: p for p in pages}.values())
+    monkeypatch.setattr(linkage, "HOT_PAIRS", 400)
+    met = linkage.voted(spark.createDataFrame(works, WORKS), spark.createDataFrame(pages, PAGES))
+    rows = met.placed.collect()
+    # A row goes once to each part of the other side, however many keys it has.
+    assert met.count > 4 and len({(r.page, r.id, r.tile) for r in rows}) == len(rows)
+    split = {(r.page, r.id): (r.number, r.core.split(), r.common.split(), r.tokens.split()) for r in rows}
+
+    def keys(number, core, _, tokens):
+        telling = "".join(t for t in core if len(t) > 1) or "".join(tokens)
+        out = {f"={''.join(sorted(tokens))}"} if tokens else set()
+        for mark, x in (":", telling), ("~", names.fold(names.consonants(telling))):
+            out |= {mark + x[at:at + 5] for at in range(max(1, len(x) - 4))} if x else set()
+        whole = names.fold(names.consonants("".join(tokens)))
+        return {(number, k) for k in out | ({"~" + whole} if len(whole) >= 5 else set())}
+
+    indexed = {k: keys(*v) for k, v in split.items()}
+    expected = {(w, p) for x, w in indexed if not x for y, p in indexed if y and indexed[False, w] & indexed[True, p]}
+    found = met.pairs().collect()
+    assert len(found) == len(expected) > 200 and {(r.work, r.page) for r in found} == expected
+    for r in found:
+        a, b = split[False, r.work], split[True, r.page]
+        core, shared = names.core_ratio(a[1], b[1]), names.common_share(a[2], b[2])
+        whole = names.CORE * core + (1 - names.CORE) * (1.0 if shared is None else shared)
+        limits = lambda v, no, yes: 0 if v is None else 1 if v >= yes else -1 if v < no else 0
+        assert r.similarity == whole and (r.core, r.spelling, r.common) == (limits(core, 0.7, 0.8), limits(whole, 0.75, 0.86), limits(shared, 0.5, 0.99))
+    # All candidates count, unlike ones over all pages; the closest of the others are the same as among all pairs.
+    best, far = met.best().collect(), met.best(far=True).collect()
+    assert sum(r.n for r in best) == sum(r.n for r in far) == len(found) and len(best) < len(far)
+    patterns = lambda rows, n: {v: sum(n(r) for r in rows if tuple(r[x] for x in linkage.VOTES) == v) for v in {tuple(r[x] for x in linkage.VOTES) for r in rows}}
+    assert patterns(best, lambda r: r.n) == patterns(far, lambda r: r.n) == patterns(found, lambda r: 1)
+    closest = {}
+    for r in found:
+        k = (r.page, *(r[v] for v in linkage.VOTES))
+        closest[k] = max(closest.get(k, (-1, 0)), (r.similarity, -r.work))
+    got = {}
+    for r in far:
+        k = (r.page, *(r[v] for v in linkage.VOTES))
+        got[k] = max(got.get(k, (-1, 0)), (r.similarity, -r.work))
+    assert got == closest and {(r.page, *(r[v] for v in linkage.VOTES)) for r in best if r.page is not None} == {k for k in closest if max(k[1:3]) >= 0}
+
+
+def test_p1_unlike_names_are_tied_where_they_are_accepted(spark):
+    works = spark.createDataFrame([(k, n, 1990, "game") for k, n in enumerate(["Dadutsidzop", "Kelvarmonit", "Kelvarsidopnit"], 1)], WORKS)
+    pages = spark.createDataFrame([(1, "Kelvartutzabfipgon", 1990, None, None, 0.9), (2, "Kelvarmonit", 1990, None, None, 0.9)], PAGES)
+    found = {r.page: r.work for r in linkage.ties(works, pages, accept=0.0).collect()}
+    every = linkage.scored(works, pages).collect()
+    assert found == {k: max((r.confidence, r.similarity, -r.work, r.work) for r in every if r.page == k)[-1] for k in (1, 2)}
+    assert any(r.core == r.spelling == -1 and found[r.page] == r.work for r in every)
+
+
 def test_p1_site_endings_are_learnt(spark):
     pages = spark.createDataFrame([(k, f"Work{k} - full info", 1990, None, None, None) for k in range(20)] + [(k, f"Work{k} - The Last Signal", 1990, None, None, None) for k in range(20, 40)] + [(k, f"Work{k} - 2", 1990, None, None, None) for k in range(40, 60)], PAGES)
     works = spark.createDataFrame([(1, "Work20: The Last Signal", 1990, "game")], WORKS)
